@@ -1,0 +1,43 @@
+"""Intermediate tables in the folder that driver and executors share.
+
+A long plan is cut by writing a table and reading it back, so that a lost executor costs a reread and not a
+recomputation. The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests)
+a temporary folder of this process takes its place.
+"""
+
+from __future__ import annotations
+
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_own: list[str] = []
+
+
+def folder(spark: SparkSession) -> str:
+    """A new, unused path below the shared folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="vigil-"))
+            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+        root = f"file://{_own[0]}"
+    return f"{root.rstrip('/')}/vigil-{uuid.uuid4().hex}"
+
+
+def table(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and return the reread table."""
+    spark, path = df.sparkSession, folder(df.sparkSession)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table made by ``table`` that no plan reads any more."""
+    spark = df.sparkSession
+    for name in df.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
