@@ -76,24 +76,20 @@ def words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def window_least(h: np.ndarray, size: int) -> np.ndarray:
-    """For each start of a window of ``size`` hashes, the place of its least one, the first of equal ones."""
+    """For each start of a window of ``size`` hashes, the place of its least one (by 32 bits), the first of equal
+    ones. Least values so far, from both ends of blocks of the window's size, give those of any window."""
     n = len(h) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    padded = np.full(-(-len(h) // size) * size, np.iinfo(_U).max, _U)
-    padded[: len(h)] = h
-    blocks = padded.reshape(-1, size)
+    keys = np.full(-(-len(h) // size) * size, np.iinfo(_U).max, _U)
+    keys[: len(h)] = (h >> _U(32) << _U(32)) | np.arange(len(h), dtype=_U)
+    blocks = keys.reshape(-1, size)
     left = np.minimum.accumulate(blocks, axis=1).ravel()
     right = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(right[:n], left[size - 1 : size - 1 + n])
-    # the place: hashes equal to a window's least one, the first at or after its start
-    order = np.argsort(h, kind="stable")
-    keys = h[order]
-    lo = np.searchsorted(keys, least, "left")
-    place = order[lo]
-    again = np.flatnonzero(place < np.arange(n))  # an equal hash stands before the window: look for the next one
-    for i in again.tolist():
-        hi = np.searchsorted(keys, least[i], "right")
-        own = order[lo[i] : hi]
-        place[i] = own[np.searchsorted(own, i)]
-    return place
+    return (np.minimum(right[:n], left[size - 1 : size - 1 + n]) & _U(0xFFFFFFFF)).astype(np.int64)
+
+
+def runs(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last window of each run of windows with the same place."""
+    edge = np.flatnonzero(np.diff(place)) + 1
+    return np.concatenate(([0], edge)), np.concatenate((edge - 1, [len(place) - 1]))

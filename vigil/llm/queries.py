@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import decontaminate, mixing, quality, sharding, simhash_dedup
+from vigil.llm import arc_convert, decontaminate, mixing, quality, repeated_bytes, repeated_words, sharding, simhash_dedup, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,10 @@ def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes.removed_bytes(_read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -33,8 +38,31 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_read(spark, sf_dir, "documents"))
 
 
+def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = arc_convert.archived(_read(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_words.removed_words(_read(spark, sf_dir, "documents")).drop("kept")
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict:
-    named = [op1_mix_sources, op3_benchmark_leaks, op5_simhash_near_dedup, op6_shards, op7_quality_rules]
+    named = [
+        op1_mix_sources,
+        op3_benchmark_leaks,
+        op4_suffix_array_dedup,
+        op5_simhash_near_dedup,
+        op6_shards,
+        op7_quality_rules,
+        op8_arc_to_warc,
+        op9_substring_dedup,
+        op10_token_counts,
+    ]
     return {f.__name__: f for f in named}
 
 
