@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import arc_convert, decontaminate, mixing, quality, repeated_bytes, repeated_words, sharding, simhash_dedup, token_counts
+from vigil.llm import arc_convert, decontaminate, license_scan, mixing, quality, repeated_bytes, repeated_words, sharding, simhash_dedup, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_read(spark, sf_dir, "documents"))
+
+
 def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -54,6 +58,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     named = [
         op1_mix_sources,
+        op2_license_scan,
         op3_benchmark_leaks,
         op4_suffix_array_dedup,
         op5_simhash_near_dedup,
