@@ -48,7 +48,7 @@ class _Detect(StatefulProcessor):
         done, buffer, matchers = self._load()
         now = timerValues.getCurrentWatermarkInMs()
         for frame in rows:
-            for r in json.loads(frame.drop(columns=["event_time", "__kind", "__entity"]).to_json(orient="records", double_precision=15)):
+            for r in json.loads(frame.drop(columns=["event_time", "__kind", "__entity"], errors="ignore").to_json(orient="records", double_precision=15)):
                 if r["ts"] > done:
                     buffer.append(r)
         yield self._advance(key, now, done, buffer, matchers)
