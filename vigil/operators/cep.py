@@ -38,7 +38,7 @@ class Detector:
 
 
 def masked(events: DataFrame, detectors: list[Detector]) -> DataFrame:
-    """One row per event and entity that wants it: __kind, __entity, __bits (a mask per detector), ts, id, and the
+    """One row per event and entity that wants it: vg_kind, vg_entity, vg_bits (a mask per detector), ts, id, and the
     columns that detectors name. Events are exploded and not unioned, so the source is read once."""
     columns = sorted({c for d in detectors for c in d.columns} | {"ts", "id"})
     each = []
@@ -50,9 +50,9 @@ def masked(events: DataFrame, detectors: list[Detector]) -> DataFrame:
                 mask = mask + F.when(F.expr(s.condition), F.lit(1 << i)).otherwise(F.lit(0))
             masks.append(mask)
         each.append(F.struct(F.lit(kind).alias("kind"), F.col(key).cast("long").alias("entity"), F.array(*masks).alias("bits")))
-    rows = events.select(*columns, F.explode(F.array(*each)).alias("__x"))
-    rows = rows.select(F.col("__x.kind").alias("__kind"), F.col("__x.entity").alias("__entity"), F.col("__x.bits").alias("__bits"), *columns)
-    return rows.filter(F.exists("__bits", lambda b: b != 0))
+    rows = events.select(*columns, F.explode(F.array(*each)).alias("vg_x"))
+    rows = rows.select(F.col("vg_x.kind").alias("vg_kind"), F.col("vg_x.entity").alias("vg_entity"), F.col("vg_x.bits").alias("vg_bits"), *columns)
+    return rows.filter(F.exists("vg_bits", lambda b: b != 0))
 
 
 def alerts_of(detector: Detector, kind: str, entity: int, found: list[tuple[str, Captures]]) -> list[tuple]:
@@ -72,7 +72,7 @@ def detect(events: DataFrame, detectors: list[Detector], order: str = "event_tim
     ship(events.sparkSession)
     rows = masked(events, detectors)
     by = ["id"] if order == "arrival" else ["ts", "id"]
-    rows = rows.repartition("__kind", "__entity").sortWithinPartitions("__kind", "__entity", *by)
+    rows = rows.repartition("vg_kind", "vg_entity").sortWithinPartitions("vg_kind", "vg_entity", *by)
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,10 +87,10 @@ def detect(events: DataFrame, detectors: list[Detector], order: str = "event_tim
             out = []
             for values in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 row = dict(zip(names, values, strict=True))
-                if (own := (row.pop("__kind"), row.pop("__entity"))) != entity:
+                if (own := (row.pop("vg_kind"), row.pop("vg_entity"))) != entity:
                     out += finish()
                     entity, matchers = own, [(d, Matcher(d.pattern)) for d in detectors]
-                bits = row.pop("__bits")
+                bits = row.pop("vg_bits")
                 for (d, m), b in zip(matchers, bits, strict=True):
                     if d.entity_kind == own[0]:
                         out += alerts_of(d, *own, m.on_event(row, row["ts"], b) if b else m.pass_time(row["ts"]))

@@ -11,9 +11,11 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+import vigil
 from vigil.operators.cep import Detector, alerts_of, masked
 from vigil.operators.matcher import Matcher, Partial
 from vigil.plans.shipping import ship
@@ -48,7 +50,7 @@ class _Detect(StatefulProcessor):
         done, buffer, matchers = self._load()
         now = timerValues.getCurrentWatermarkInMs()
         for frame in rows:
-            for r in json.loads(frame.drop(columns=["event_time", "__kind", "__entity"], errors="ignore").to_json(orient="records", double_precision=15)):
+            for r in json.loads(frame.drop(columns=["event_time", "vg_kind", "vg_entity"], errors="ignore").to_json(orient="records", double_precision=15)):
                 if r["ts"] > done:
                     buffer.append(r)
         yield self._advance(key, now, done, buffer, matchers)
@@ -60,7 +62,7 @@ class _Detect(StatefulProcessor):
         ready = sorted((r for r in buffer if r["ts"] <= now), key=lambda r: (r["ts"], r["id"]))
         out = []
         for r in ready:
-            bits = r.pop("__bits")
+            bits = r.pop("vg_bits")
             for d, m, b in zip(self.detectors, matchers, bits, strict=True):
                 if d.entity_kind == key[0]:
                     out += alerts_of(d, key[0], int(key[1]), m.on_event(r, r["ts"], b) if b else m.pass_time(r["ts"]))
@@ -79,4 +81,9 @@ def detect_stream(events: DataFrame, detectors: list[Detector]) -> DataFrame:
     ship(events.sparkSession)
     with_time = [Detector(d.name, d.entity_kind, d.key, d.pattern, (*d.columns, "event_time"), d.on_match, d.on_timeout, d.match_name) for d in detectors]
     rows = masked(events, with_time)
-    return rows.groupBy("__kind", "__entity").transformWithStateInPandas(_Detect(with_time), outputStructType=ALERT, outputMode="Append", timeMode="EventTime")
+    # the worker that prepares the state on the driver doesn't get shipped files, so the processor goes by value
+    cloudpickle.register_pickle_by_value(vigil)
+    try:
+        return rows.groupBy("vg_kind", "vg_entity").transformWithStateInPandas(_Detect(with_time), outputStructType=ALERT, outputMode="Append", timeMode="EventTime")
+    finally:
+        cloudpickle.unregister_pickle_by_value(vigil)
