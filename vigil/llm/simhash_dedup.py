@@ -182,8 +182,9 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The document with the smallest id of each group, with all its columns; one row of repeated rows."""
     rows = scratch.table(with_fingerprints(docs, text_col))
     fps = scratch.table(rows.groupBy(F.col("__vg_fp").alias("fp")).agg(F.min(id_col).alias("least")))
-    heads = grouped(fps).join(fps, "fp").filter(F.col("least").eqNullSafe(F.col("component_id")))
-    # a group has one head unless an id repeats or is null; the group's least fingerprint then decides
-    heads = heads.groupBy(F.col("least").alias("__vg_id")).agg(F.min("fp").alias("fp")).filter("__vg_id is not null").unionByName(heads.filter("least is null").select(F.col("least").alias("__vg_id"), "fp"))
-    kept = rows.join(heads, (F.col(f"`{id_col}`").eqNullSafe(F.col("__vg_id"))) & (F.col("__vg_fp") == F.col("fp")), "left_semi")
+    heads = grouped(fps).join(fps, "fp").filter(F.col("least").eqNullSafe(F.col("component_id"))).select(F.col("least").alias("__vg_id"), F.col("fp").alias("__vg_head"))
+    # a group has one head unless an id repeats or is null; the least fingerprint of a repeated id then decides
+    ids = heads.filter("__vg_id is not null").groupBy("__vg_id").agg(F.min("__vg_head").alias("__vg_head"))
+    heads = ids.unionByName(heads.filter("__vg_id is null"))
+    kept = rows.join(heads, (F.col("__vg_fp") == F.col("__vg_head")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__vg_id")), "left_semi")
     return kept.dropDuplicates([id_col, "__vg_fp"]).drop("__vg_fp")
