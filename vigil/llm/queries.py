@@ -72,7 +72,38 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_shards": _op6_sql()}
+    return {"op6_shards": _op6_sql(), "op8_arc_to_warc": _OP8_SQL, "op9_substring_dedup": _op9_sql()}
+
+
+#: Base32 from five hexadecimal digits at a time, which are four letters.
+_OP8_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+h AS (SELECT page_id, body, sha1(body) AS h, min(page_id) OVER (PARTITION BY body) AS head FROM p)
+SELECT page_id, CAST(octet_length(body) AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((CAST('0x' || substr(h, CAST(i // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31), 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> head THEN head END AS refers_to
+FROM h
+"""
+
+
+def _op9_sql() -> str:
+    following = ", ".join(f"lead(word, {k}) OVER w" for k in range(1, repeated_words.WINDOW))
+    last = repeated_words.WINDOW - 1
+    return rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+x AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
+g AS (SELECT doc_id, i, lead(word, {last}) OVER w IS NOT NULL AS whole, concat_ws(' ', word, {following}) AS k FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1 AS later FROM g WHERE whole),
+c AS (
+  SELECT x.doc_id, x.i, x.word, coalesce(bool_or(f.later) OVER (PARTITION BY x.doc_id ORDER BY x.i ROWS BETWEEN {last} PRECEDING AND CURRENT ROW), false) AS gone
+  FROM x LEFT JOIN f ON f.doc_id = x.doc_id AND f.i = x.i
+),
+k AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
 
 
 def _op6_sql() -> str:
