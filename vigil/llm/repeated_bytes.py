@@ -40,7 +40,8 @@ from vigil.llm import hashing, repeats, scratch
 from vigil.plans.shipping import ship
 
 WINDOW, GRAM, STEP = 400, 32, 16
-BUCKET = 64
+#: Members gathered in a task at most: some 1.5 MB of text.
+BUCKET = 2048
 ROUNDS = 9  # 2^9 places are more than an anchor can have in a window
 
 
@@ -172,8 +173,8 @@ def _refined(nodes: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc, th, lo, hi) of ``repeats.keyed`` documents: byte spans [lo, hi) of windows that start elsewhere too."""
-    cells = repeats.cell_table(docs, _cells)
-    marked = cells.join(repeats.copies(cells), ["u1", "u2"], "left")
+    cells = scratch.table(repeats.cell_rows(docs, _cells))
+    marked = cells.join(scratch.table(repeats.copies(cells)), ["u1", "u2"], "left")
     marked = scratch.table(marked.withColumns({"copied": F.col("first").isNotNull(), "head": F.col("first").isNull() | (F.col("first") == repeats.place("lo"))}).drop("first", "u1", "u2"))
     scratch.drop(cells)
     repeats.settle()

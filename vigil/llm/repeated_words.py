@@ -13,8 +13,8 @@ others; rows with the same id and text are one document, with the same result; o
 texts the order is that of the texts' hashes; extra columns are left out; an empty table gives an empty result.
 
 Scale: three kinds of rows are shuffled, all by hashes: cells (about one for each eight words), surviving windows, and
-the documents next to their spans. Counts are pre-aggregated; hot hashes meet only in sums, minima and joins that Spark
-can split.
+the documents next to their spans. Counts of grams and windows are pre-aggregated, and their joins can be split by Spark.
+The cells of one text, which are the copies of half a window, are sorted in one task.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,13 +93,16 @@ def _windows(cells: DataFrame, docs: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc, th, lo, hi) of ``repeats.keyed`` documents: word spans [lo, hi) covered by windows that start earlier too."""
-    cells = repeats.cell_table(docs, _cells)
-    marked = cells.join(repeats.copies(cells), ["u1", "u2"], "left")
-    marked = scratch.table(marked.withColumn("later", F.col("first").isNotNull() & (F.col("first") < repeats.place("lo"))).drop("first"))
-    scratch.drop(cells)
+    # cells of equal text, in order of place: all but the first are later. One shuffle, streamed from the texts; a
+    # text that very many cells have is sorted in one task (spilling), but neither held nor paired there
+    in_order = Window.partitionBy("u1", "u2").orderBy(repeats.place("lo")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    later = F.first(repeats.place("lo")).over(in_order) < repeats.place("lo")
+    marked = repeats.cell_rows(docs, _cells).withColumn("later", later)
+    marked = scratch.table(marked.select("doc", "th", "lo", "hi", "later", *[F.when(~F.col("later"), F.col(c)).alias(c) for c in ("anchor", "gram")]))
     repeats.settle()
     whole = marked.filter("later").select("doc", "th", "lo", (F.col("hi") + WINDOW).alias("hi"))
-    left = scratch.table(repeats.contested(marked.filter("not later")))
+    left = scratch.table(repeats.contested(marked.filter("not later").drop("later")))
+    repeats.settle()
     windows = _windows(left, docs)
     scratch.drop(left)
     repeats.settle()

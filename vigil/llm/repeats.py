@@ -57,8 +57,8 @@ def cells_of(grams: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.
     return lo, hi, place[lo]
 
 
-def cell_table(docs: DataFrame, cells: Callable[[bytes], Iterator[tuple]]) -> DataFrame:
-    """The cells of all documents; ``cells`` gives a text's as rows (lo, hi, anchor, gram, u1, u2)."""
+def cell_rows(docs: DataFrame, cells: Callable[[bytes], Iterator[tuple]]) -> DataFrame:
+    """The cells of all documents, made anew whenever they are read; ``cells`` gives a text's as rows (lo, hi, anchor, gram, u1, u2)."""
     ship(docs.sparkSession)
     schema = T.StructType([docs.schema["doc"], docs.schema["th"], *T._parse_datatype_string(CELL).fields])
 
@@ -67,7 +67,7 @@ def cell_table(docs: DataFrame, cells: Callable[[bytes], Iterator[tuple]]) -> Da
             for at, rows in _gathered(batch, lambda row: cells(row[2])):
                 yield _rebatch(batch, at, rows, schema)
 
-    return scratch.table(docs.select("doc", "th", "text").mapInArrow(run, schema))
+    return docs.select("doc", "th", "text").mapInArrow(run, schema)
 
 
 def _gathered(batch: pa.RecordBatch, rows_of: Callable[[tuple], Iterator[tuple]], most: int = 200_000) -> Iterator[tuple[list, list]]:
@@ -95,13 +95,14 @@ def place(*more: Column | str) -> Column:
 
 
 def copies(cells: DataFrame) -> DataFrame:
-    """For each text that several cells have: (u1, u2, first), the first place of them."""
+    """For each text that several cells have: (u1, u2, first), the first place of them. Write it as a table before
+    joining it: a join below which the aggregation shares its shuffle can't split a skewed key."""
     return cells.groupBy("u1", "u2").agg(F.min(place("lo")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
 
 
 def contested(cells: DataFrame) -> DataFrame:
     """The cells whose gram is the anchor of several, with their number n."""
-    return cells.join(cells.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "gram")
+    return cells.join(scratch.table(cells.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")), "gram")
 
 
 def same_document(a: str, b: str) -> Column:

@@ -186,5 +186,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # a group has one head unless an id repeats or is null; the least fingerprint of a repeated id then decides
     ids = heads.filter("__vg_id is not null").groupBy("__vg_id").agg(F.min("__vg_head").alias("__vg_head"))
     heads = ids.unionByName(heads.filter("__vg_id is null"))
-    kept = rows.join(heads, (F.col("__vg_fp") == F.col("__vg_head")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__vg_id")), "left_semi")
-    return kept.dropDuplicates([id_col, "__vg_fp"]).drop("__vg_fp")
+    # the join's keys are columns of the rows, so that dropping repeated rows needs no second shuffle of the texts
+    key = {"__vg_null": F.isnull(F.col(f"`{id_col}`")), "__vg_key": F.coalesce(F.col(f"`{id_col}`"), F.lit(0))}
+    heads = heads.select(F.col("__vg_head").alias("__vg_fp"), F.isnull("__vg_id").alias("__vg_null"), F.coalesce("__vg_id", F.lit(0)).alias("__vg_key"))
+    by = ["__vg_fp", *key]
+    return rows.withColumns(key).join(heads, by, "left_semi").dropDuplicates(by).drop(*by)
