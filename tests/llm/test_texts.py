@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 import xxhash
 
-from vigil.llm import decontaminate, hashing, license_scan, quality, repeated_bytes, repeated_words, simhash_dedup, token_counts
+from vigil.llm import decontaminate, hashing, license_scan, quality, repeated_bytes, repeated_words, repeats, simhash_dedup, token_counts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -225,3 +225,12 @@ def test_license_scan(spark, none):
     assert license_scan.scan(none).count() == 0
     with pytest.raises(ValueError):
         license_scan.template_shingles("too short")
+
+
+def test_cells_settled_before_the_shuffle(spark):
+    line = " ".join(f"w{i}" for i in range(60))
+    docs = repeats.keyed(spark.createDataFrame([(i, line) for i in [*range(500), None, 3]], "doc_id long, text string").coalesce(1), "doc_id", "text")
+    got = repeats.cell_rows(docs, repeated_words._cells, settled=True).collect()
+    plain = repeats.cell_rows(docs, repeated_words._cells).collect()
+    assert bag((r["doc"], r["lo"], r["hi"], r["u2"]) for r in got) == bag((r["doc"], r["lo"], r["hi"], r["u2"]) for r in plain)
+    assert {r["doc"] for r in got if r["anchor"] >= 0} == {0} and len({r["u1"] for r in got}) == len(got)

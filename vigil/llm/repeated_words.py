@@ -14,7 +14,8 @@ texts the order is that of the texts' hashes; extra columns are left out; an emp
 
 Scale: three kinds of rows are shuffled, all by hashes: cells (about one for each eight words), surviving windows, and
 the documents next to their spans. Counts of grams and windows are pre-aggregated, and their joins can be split by Spark.
-The cells of one text, which are the copies of half a window, are sorted in one task.
+Of the cells of one text, all but one in each part of a batch are settled before the shuffle; only those left are sorted
+together.
 """
 
 from __future__ import annotations
@@ -93,11 +94,11 @@ def _windows(cells: DataFrame, docs: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc, th, lo, hi) of ``repeats.keyed`` documents: word spans [lo, hi) covered by windows that start earlier too."""
-    # cells of equal text, in order of place: all but the first are later. One shuffle, streamed from the texts; a
-    # text that very many cells have is sorted in one task (spilling), but neither held nor paired there
+    # cells of equal text, in order of place: all but the first are later. One shuffle, streamed from the texts, after
+    # the same was done within each part of a batch, so that few cells of a common text are left to meet here
     in_order = Window.partitionBy("u1", "u2").orderBy(repeats.place("lo")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    later = F.first(repeats.place("lo")).over(in_order) < repeats.place("lo")
-    marked = repeats.cell_rows(docs, _cells).withColumn("later", later)
+    later = (F.col("anchor") < 0) | (F.first(repeats.place("lo")).over(in_order) < repeats.place("lo"))
+    marked = repeats.cell_rows(docs, _cells, settled=True).withColumn("later", later)
     marked = scratch.table(marked.select("doc", "th", "lo", "hi", "later", *[F.when(~F.col("later"), F.col(c)).alias(c) for c in ("anchor", "gram")]))
     repeats.settle()
     whole = marked.filter("later").select("doc", "th", "lo", (F.col("hi") + WINDOW).alias("hi"))
