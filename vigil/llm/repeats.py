@@ -60,8 +60,8 @@ def cells_of(grams: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.
 def cell_rows(docs: DataFrame, cells: Callable[[bytes], Iterator[tuple]], settled: bool = False) -> DataFrame:
     """The cells of all documents, made anew whenever they are read; ``cells`` gives a text's as rows (lo, hi, anchor, gram, u1, u2).
 
-    ``settled``: a cell that is later than an equal one among those made with it has anchor -1, gram 0 and a u1 of its
-    own, so that of a text however common only one cell a part is shuffled to the others."""
+    ``settled``: a cell that is later than an equal one among those made with it has anchor -1, gram and u2 0 and a small
+    number of its own as u1, so that of a text however common only one cell a part is shuffled to the others."""
     ship(docs.sparkSession)
     schema = T.StructType([docs.schema["doc"], docs.schema["th"], *T._parse_datatype_string(CELL).fields])
 
@@ -69,7 +69,7 @@ def cell_rows(docs: DataFrame, cells: Callable[[bytes], Iterator[tuple]], settle
         for batch in batches:
             rank = _ranks(batch) if settled else None
             for at, rows in _gathered(batch, lambda row: cells(row[2])):
-                yield _rebatch(batch, at, _settled(batch, at, rows, rank) if settled else rows, schema)
+                yield _settled(batch, at, rows, rank, schema) if settled and rows else _rebatch(batch, at, rows, schema)
 
     return docs.select("doc", "th", "text").mapInArrow(run, schema)
 
@@ -81,20 +81,20 @@ def _ranks(batch: pa.RecordBatch) -> np.ndarray:
     return np.array([rank[k] for k in keys], np.int64)
 
 
-def _settled(batch: pa.RecordBatch, at: list, rows: list, rank: np.ndarray) -> list[tuple]:
-    """The rows, with those marked that are later than another one of equal text."""
-    if not rows:
-        return rows
+def _settled(batch: pa.RecordBatch, at: list, rows: list, rank: np.ndarray, schema: T.StructType) -> pa.RecordBatch:
+    """As ``_rebatch``, with those rows marked that are later than another one of equal text."""
     lo, _, anchor, gram, u1, u2 = own = np.array(rows, np.int64).T.copy()
     doc = rank[at]
     order = np.lexsort((lo, doc, u2, u1))
     new = np.concatenate(([True], (np.diff(u1[order]) != 0) | (np.diff(u2[order]) != 0)))
     head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
     later = order[(doc[order] != doc[head]) | (lo[order] != lo[head])]
-    anchor[later], gram[later] = -1, 0
     th = batch.column(1).to_numpy()[np.array(at)[later]].view(np.uint64)
-    u1[later] = hashing.mix(hashing.mix(th) + later.astype(np.uint64)).view(np.int64)
-    return list(zip(*own.tolist(), strict=True))
+    # 32 bits spread the marked rows over any cluster and are half the bytes to shuffle
+    u1[later] = (hashing.mix(hashing.mix(th) + later.astype(np.uint64)) >> np.uint64(32)).view(np.int64)
+    anchor[later], gram[later], u2[later] = -1, 0, 0
+    columns = [c.take(pa.array(at, pa.int64())) for c in batch.columns[:2]]
+    return pa.RecordBatch.from_arrays([*columns, *map(pa.array, own)], schema.names)
 
 
 def _gathered(batch: pa.RecordBatch, rows_of: Callable[[tuple], Iterator[tuple]], most: int = 200_000) -> Iterator[tuple[list, list]]:
