@@ -1,6 +1,7 @@
 """Detectors on Spark: the labelled tape in batch, in arrival order and as a stream; rules, profiles, state and sinks."""
 
 import json
+import os
 import threading
 import urllib.error
 import urllib.request
@@ -56,6 +57,8 @@ def test_stream_equals_batch(spark, small_tape, tmp_path):
     want = sorted(map(tuple, detect(rows.filter(F.col("ts") <= last - 60_000), detectors.all_detectors(True), complete_to=last - 60_000).collect()))
     for n in (1, 4):
         rows.select(records.event_json().alias("value"), "id").repartitionByRange(n, "id").sortWithinPartitions("id").select("value").write.text(f"{tmp_path}/in{n}")
+        for i, part in enumerate(sorted((tmp_path / f"in{n}").glob("part-*"))):  # files arrive by their time, which parallel tasks leave open
+            os.utime(part, (1_700_000_000 + i, 1_700_000_000 + i))
         stream = records.stream_events(spark, f"{tmp_path}/in{n}", maxFilesPerTrigger=1)
         store, start = f"{tmp_path}/store{n}", f"{tmp_path}/check{n}"
         for _ in range(2):  # the second run starts from the checkpoint and finds nothing new
