@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from vigil.llm import near_copies
+from vigil.llm import near_copies, quality
 
 SCHEMA = "doc_id long, text string, lang string, source string"
 
@@ -54,3 +54,14 @@ def test_near_copies_against_brute_force(spark, heavy, monkeypatch):
     assert kept.columns == docs.columns
     assert collections.Counter(r["doc_id"] for r in kept.collect()) == collections.Counter(want)
     assert near_copies.keep_first(docs.limit(0)).count() == 0
+
+
+def test_word_distance_alone_rejects(spark):
+    rng = random.Random(1)
+    listed = quality.COMMON_WORDS["en"]
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = [(i, " ".join(rng.choice(listed) if rng.random() < 0.2 else word() for _ in range(300)), "en", "a") for i in range(60)]
+    rows.append((100, " ".join(word()[: rng.randint(4, 6)] for _ in range(300)), "en", "a"))
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not got[100]["base_failed"] and got[100]["class_distance"] <= quality.MAX_CLASS_DISTANCE
+    assert not got[100]["kept"] and all(got[i]["kept"] for i in range(60))

@@ -15,6 +15,8 @@ per listed language and one for the rest meet on the driver). No text is shuffle
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,9 @@ MAX_REPEAT_PERCENT = 50
 #: A document is rejected beyond these distances, from these lengths on.
 MAX_CLASS_DISTANCE, MIN_CLASS_CHARS = 0.30, 200
 MAX_WORD_DISTANCE, MIN_WORD_COUNT = 0.60, 100
+#: Where common words are at least this share of a reference, the word limit is this fraction of the distance that a text
+#: without any common word has to it; a reference with fewer says too little and leaves the limit above.
+MIN_COMMON_SHARE, WORD_FRACTION = 0.10, 0.9
 
 N_HITS = max(map(len, COMMON_WORDS.values()))
 N_CLASSES = len(CLASSES) + 2
@@ -138,11 +143,23 @@ def js_distance(counts: list[Column], total: Column, reference: list[float]) ->
     return F.when(total > 0, F.sqrt(F.greatest(F.lit(0.0), sum(parts[1:], parts[0]) / 2))).otherwise(F.lit(0.0))
 
 
+def word_limit(hits: list[float], words: float) -> float:
+    """The word distance beyond which a document is rejected, from a reference's common words and all its words."""
+    share = sum(hits) / words if words else 0.0
+    if share < MIN_COMMON_SHARE:
+        return MAX_WORD_DISTANCE
+    # the common words have no part in such a text: each gives its share to the divergence, all other words the rest
+    rest = max(0.0, 1 - share)
+    m = (1 + rest) / 2
+    divergence = (share - math.log2(m) + (rest * math.log2(rest / m) if rest else 0.0)) / 2
+    return min(MAX_WORD_DISTANCE, WORD_FRACTION * math.sqrt(max(0.0, divergence)))
+
+
 def verdict(refs: dict) -> tuple[Column, Column, Column, Column]:
     """base_failed, class distance, word distance (null where the guard holds) and kept, for ``measured`` rows."""
     f = F.col("__vg_q")
     n, total = f["n_words"], F.aggregate(f["classes"], F.lit(0.0), lambda a, x: a + x)
-    class_d, word_d = F.lit(0.0), F.lit(0.0)
+    class_d, word_d, limit = F.lit(0.0), F.lit(0.0), F.lit(MAX_WORD_DISTANCE)
     for name, (classes, hits, words) in sorted(refs.items()):
         one = js_distance([F.get(f["classes"], F.lit(i)) for i in range(N_CLASSES)], total, _shares(classes))
         class_d = F.when(f["lang"] == name, one).otherwise(class_d)
@@ -151,10 +168,11 @@ def verdict(refs: dict) -> tuple[Column, Column, Column, Column]:
             rest = F.greatest(F.lit(0.0), n - sum(own[1:], own[0]))
             one = js_distance([*own, rest], n.cast("double"), _shares([*hits, max(0.0, words - sum(hits))]))
             word_d = F.when(f["lang"] == name, one).otherwise(word_d)
+            limit = F.when(f["lang"] == name, F.lit(word_limit(hits, words))).otherwise(limit)
     class_d = F.when(total >= MIN_CLASS_CHARS, class_d)
     word_d = F.when(n >= MIN_WORD_COUNT, word_d)
     base = (n < MIN_WORDS) | (100 * f["n_repeat_words"] > MAX_REPEAT_PERCENT * n)
-    kept = ~base & (F.coalesce(class_d, F.lit(0.0)) <= MAX_CLASS_DISTANCE) & (F.coalesce(word_d, F.lit(0.0)) <= MAX_WORD_DISTANCE)
+    kept = ~base & (F.coalesce(class_d, F.lit(0.0)) <= MAX_CLASS_DISTANCE) & (F.coalesce(word_d, F.lit(0.0)) <= limit)
     return base, class_d, word_d, kept
 
 
