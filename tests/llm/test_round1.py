@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from vigil.llm import near_copies, quality
+from vigil.llm import decontaminate, mixing, near_copies, quality
 
 SCHEMA = "doc_id long, text string, lang string, source string"
 
@@ -65,3 +65,19 @@ def test_word_distance_alone_rejects(spark):
     got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert not got[100]["base_failed"] and got[100]["class_distance"] <= quality.MAX_CLASS_DISTANCE
     assert not got[100]["kept"] and all(got[i]["kept"] for i in range(60))
+
+
+def test_rows_with_null_or_repeated_ids(spark):
+    item = " ".join(f"b{i}" for i in range(30))
+    rows = [(None, item, "en", "a"), (None, "clean one", "en", "a"), (7, item, "en", "a"), (7, "clean two", "en", "b")]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    clean = decontaminate.without_leaks(spark.createDataFrame(rows, SCHEMA), bench)
+    assert sorted(r["text"] for r in clean.collect()) == ["clean one", "clean two"]
+
+
+def test_mix_meets_targets_whatever_the_ids(spark):
+    rows = [(None if i % 3 else 5, " ".join([f"t{i}"] * 10), "en", "abc"[i % 3]) for i in range(300)] + [(1, "same " * 10, "en", "a")] * 40
+    docs = spark.createDataFrame(rows, SCHEMA)
+    taken = collections.Counter(r["source"] for r in mixing.mixed(docs).collect())
+    target = {r["pattern"][0]: r["target"] for r in mixing.mix(docs).collect()}
+    assert all(abs(10 * taken[s] - target[s]) <= 10 for s in target)

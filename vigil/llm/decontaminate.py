@@ -191,5 +191,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents in which no item is found, with all their columns."""
-    found = scratch.table(leaks(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("__vg_id")).distinct())
-    return docs.join(found, F.col(f"`{id_col}`").eqNullSafe(F.col("__vg_id")), "left_anti")
+    # the row itself is decided on, known by its id and a hash of its text: ids may repeat or be null
+    th = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    keyed = docs.select(F.struct(F.col(f"`{id_col}`").alias("i"), th.alias("h")).alias("__vg_row"), F.col(f"`{text_col}`").alias("__vg_t"))
+    found = leaks(keyed, benchmark, "__vg_row", "__vg_t").select("__vg_row.*").toDF("__vg_id", "__vg_h").distinct()
+    return docs.join(scratch.table(found), F.col(f"`{id_col}`").eqNullSafe(F.col("__vg_id")) & (th == F.col("__vg_h")), "left_anti")

@@ -129,11 +129,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources
     ``sources_col`` is a source or an array of sources. Sources in code-point order, null last, have ``weights`` in
     turn. For a document of several sources, source_size and target are those of the first of them.
     """
+    return _placed(docs, id_col, text_col, sources_col, weights, share).drop("th")
+
+
+def _pattern(docs: DataFrame, sources_col: str) -> Column:
     kind = dict(docs.dtypes)[sources_col]
     raw = F.col(f"`{sources_col}`")
     pattern = F.sort_array(F.array_distinct(F.coalesce(raw, F.array(F.lit(None).cast(kind[6:-1]))))) if kind.startswith("array") else F.array(raw)
-    pattern = pattern.cast("array<string>")
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), n_words(F.col(f"`{text_col}`")).alias("size"), pattern.alias("pattern"))
+    return pattern.cast("array<string>")
+
+
+def _hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str, sources_col: str, weights: Sequence[float] = WEIGHTS, share: float = SHARE) -> DataFrame:
+    """The rows of ``mix`` with the hash ``th`` of the text."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), _hash(text_col).alias("th"), n_words(F.col(f"`{text_col}`")).alias("size"), _pattern(docs, sources_col).alias("pattern"))
     order = F.xxhash64(F.lit(SEED), F.col("id"))
     rows = scratch.table(rows.withColumns({"order": order, "range": F.shiftrightunsigned(order, 54).cast("int")}))
     ranges = scratch.table(rows.groupBy("pattern", "range").agg(F.sum("size").alias("words")))
@@ -141,12 +153,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources
     # words of a pattern in earlier ranges: a running sum over one row per pattern and range
     before = F.sum("words").over(Window.partitionBy("pattern").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
     starts = ranges.select("pattern", "range", F.coalesce(before, F.lit(0)).alias("before"), "words").join(plan, "pattern", "left")
-    within = Window.partitionBy("pattern", "range").orderBy("order", F.col("id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("pattern", "range").orderBy("order", F.col("id").asc_nulls_last(), "size", "th").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.join(starts, ["pattern", "range"]).withColumn("at", F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     total = F.lit(0).cast("long")
     for k in range(PASSES):  # pass k takes the words [0, quota k) of the pattern in the seeded order
         total = total + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.get(F.col("quotas"), F.lit(k)) - F.col("at")))
-    return placed.select("id", "size", "pattern", "source_size", "target", total.alias("taken"))
+    return placed.select("id", "th", "size", "pattern", "source_size", "target", total.alias("taken"))
 
 
 def _plan(ranges: DataFrame, weights: Sequence[float], share: float) -> DataFrame:
@@ -177,10 +189,12 @@ def _plan(ranges: DataFrame, weights: Sequence[float], share: float) -> DataFram
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources_col: str = "source") -> DataFrame:
     """The documents of the mix with all their columns, one row for each time a document is taken (a document of which
     at least half is taken in a pass counts as taken whole; an empty one is left out)."""
-    taken = mix(docs, id_col, text_col, sources_col).filter("taken > 0").select(
-        F.col("id").alias("__vg_id"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("__vg_n")
-    )
-    # rows that repeat an id share its count: they are taken alike
-    taken = taken.groupBy("__vg_id").agg(F.max("__vg_n").alias("__vg_n")).filter("__vg_n > 0")
-    out = docs.join(taken, F.col(f"`{id_col}`").eqNullSafe(F.col("__vg_id")))
+    # a row is known by its id, text and sources; rows that repeat all three get their counts one after another
+    n = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    key = lambda doc, th, pattern: {"__vg_null": F.isnull(doc), "__vg_key": F.coalesce(doc.cast("string"), F.lit("")), "__vg_th": th, "__vg_p": pattern}
+    mine = key(F.col(f"`{id_col}`"), _hash(text_col), _pattern(docs, sources_col))
+    taken = _placed(docs, id_col, text_col, sources_col).filter("size > 0").select(*[c.alias(k) for k, c in key(F.col("id"), F.col("th"), F.col("pattern")).items()], n.alias("n"))
+    taken = taken.groupBy(*mine).agg(F.sort_array(F.collect_list("n"), asc=False).alias("__vg_n")).filter(F.get("__vg_n", F.lit(0)) > 0)
+    place = F.row_number().over(Window.partitionBy(*mine).orderBy("__vg_null")) - 1
+    out = docs.withColumns(mine).join(taken, list(mine)).withColumn("__vg_n", F.get("__vg_n", place)).filter("__vg_n > 0")
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__vg_n"))).alias("__vg_k")).drop("__vg_k")
