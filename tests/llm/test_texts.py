@@ -227,12 +227,45 @@ def test_license_scan(spark, none):
         license_scan.template_shingles("too short")
 
 
-def test_cells_settled_before_the_shuffle(spark):
+def test_common_cells_send_one_row_a_part(spark):
     line = " ".join(f"w{i}" for i in range(60))
-    docs = repeats.keyed(spark.createDataFrame([(i, line) for i in [*range(500), None, 3]], "doc_id long, text string").coalesce(1), "doc_id", "text")
-    got = repeats.cell_rows(docs, repeated_words._cells, settled=True).collect()
-    plain = repeats.cell_rows(docs, repeated_words._cells).collect()
-    assert bag((r["doc"], r["lo"], r["hi"]) for r in got) == bag((r["doc"], r["lo"], r["hi"]) for r in plain)
-    first = [r for r in got if r["anchor"] >= 0]
-    assert bag(map(tuple, first)) == bag(tuple(r) for r in plain if r["doc"] == 0)
-    assert len({r["u1"] for r in got}) > len(got) - 5
+    texts = [line] * 400 + [f"{' '.join(f'x{i}y{j}' for j in range(12))} {' '.join(line.split()[20:32])} {' '.join(f'z{i}y{j}' for j in range(12))}" for i in range(100)]
+    docs = repeats.keyed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), "doc_id", "text")
+    batch = docs.toArrow().to_batches()[0]
+    made = repeated_words._cells([t.as_py() for t in batch.column(2)])
+    assert len(made[0]) > 2000
+    row, at, key, u, gram = repeats._settled(repeats.ranks(batch), made, ordered=True)
+    few = collections.Counter(k for k, a in zip(key.tolist(), at.tolist()) if a & repeats.OPEN)
+    assert max(few.values()) == 1 and any(a & repeats.MARK for a in at.tolist())
+    assert max(collections.Counter(key.tolist()).values()) <= 2
+    # copies are settled: all but the first document's cells
+    assert {r for r, a in zip(row.tolist(), at.tolist()) if not a & 15} >= set(range(1, 400))
+
+
+def test_spans_merge():
+    a, b = np.array([5, 1, 2, 30]), np.array([9, 3, 5, 31])
+    assert repeats.union_of(a, b) == [(1, 9), (30, 31)] and repeats.union_of(a[:0], b[:0]) == []
+
+
+def test_long_words_hash_alike_wherever_they_stand():
+    long = b"q" * 5000
+    line = b" ".join([b"ab", long, b"cd", b"e" * 4096, long, b"ab"])
+    h = hashing.word_hashes(line, *hashing.words(line))
+    assert h[0] == h[5] and h[1] == h[4] and len(set(h.tolist())) == 4
+
+
+@pytest.mark.parametrize(("limit", "part"), [(300, 10), (700, 50), (1 << 20, 300_000)])
+def test_repeats_whatever_the_parts(docs, rows, limit, part, monkeypatch):
+    """Small parts and pieces take the way of long texts and of many parts; the functions are shipped with their settings
+    only as defaults, so this runs without Spark's workers."""
+    texts = [(t or "").encode() for _, t, *_ in rows]
+    monkeypatch.setattr(repeats, "LIMIT", limit)
+    monkeypatch.setattr(repeats, "CHUNK", max(1, limit // 100))
+    for pieces, cells, window, split in ((repeated_words._pieces, repeated_words._cells, 20, lambda b: b.split()), (repeated_bytes._pieces, repeated_bytes._cells, 400, lambda b: b)):
+        seen = collections.Counter()
+        for own, base, of in repeats.blocks(enumerate(texts), pieces):
+            piece, lo, n, *_ = cells(of)
+            for i, a, k in zip(own[piece].tolist(), (lo + base[piece]).tolist(), n.tolist()):
+                seen.update((i, p) for p in range(a, a + k))
+        want = {(i, p) for i, b in enumerate(texts) for p in range(len(split(b)) - window + 1)}
+        assert set(seen) == want and max(seen.values()) == 1

@@ -11,6 +11,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import xxhash
 
 _U = np.uint64
 SPACE = np.zeros(256, bool)
@@ -75,6 +76,24 @@ def words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
+#: Longer words are hashed by themselves, so that running sums stay short.
+LONG_WORD = 4096
+
+
+def word_hashes(text: bytes, start: np.ndarray, end: np.ndarray, seed: int = 1) -> np.ndarray:
+    """A hash of each word, the same wherever it stands."""
+    data, out, far = np.frombuffer(text, np.uint8), np.empty(len(start), _U), end - start > LONG_WORD
+    for i in np.flatnonzero(far).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(text[start[i] : end[i]], seed)
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], far, [True])).view(np.int8)))
+    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):  # runs of shorter words
+        for c in range(a, b, 1 << 17):
+            d = min(b, c + (1 << 17))
+            base = start[c]
+            out[c:d] = Stretches(data[base : end[d - 1]], seed).hash(start[c:d] - base, end[c:d] - base)
+    return out
+
+
 def window_least(h: np.ndarray, size: int) -> np.ndarray:
     """For each start of a window of ``size`` hashes, the place of its least one (by 32 bits), the first of equal
     ones. Least values so far, from both ends of blocks of the window's size, give those of any window."""
@@ -93,3 +112,13 @@ def runs(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last window of each run of windows with the same place."""
     edge = np.flatnonzero(np.diff(place)) + 1
     return np.concatenate(([0], edge)), np.concatenate((edge - 1, [len(place) - 1]))
+
+
+def digest128(data: bytes) -> tuple[int, int]:
+    """A 128-bit hash as two signed numbers."""
+    d = xxhash.xxh3_128_intdigest(data)
+    return signed(d >> 64), signed(d & (2**64 - 1))
+
+
+def signed(x: int) -> int:
+    return x - 2**64 if x >= 2**63 else x

@@ -1,7 +1,7 @@
 """Suffix-array dedup by bucket-pointer refinement: bytes of strings that occur twice go.
 
 Every string of ``WINDOW`` bytes is known by its anchor, a q-gram inside it (see ``repeats``), and the initial buckets
-are those of equal anchor q-grams; a bucket of one holds no repeat. Cells of equal text are settled at once. Within a
+are those of equal anchor q-grams; a bucket of one holds no repeat. Cells of equal text are settled before. Within a
 bucket, all suffixes of its members start with a bucket pointer, that of their first ``STEP`` bytes. Each refinement
 sorts them on the pairs of their own pointer and the pointer ``STEP`` bytes further on, which gives pointers for twice
 the length; these are used again in the next one, up to the window. A suffix that is alone in its bucket leaves, and
@@ -20,8 +20,8 @@ Defined results: a null text is empty; a text shorter than a window keeps all; r
 own, so both lose what they share; null ids do no harm; a cut may leave a UTF-8 character in part, which ``kept`` leaves
 out; extra columns are left out; an empty table gives an empty result.
 
-Scale: a cell is a row of some 50 bytes for about 185 bytes of text; only contested cells carry text. Shuffles are by
-hashes, with sums and minima pre-aggregated.
+Scale: a cell is a row of some 45 bytes for about 185 bytes of text, shuffled once; only contested cells carry text. What
+meets within a part of a batch is dealt with before the shuffle.
 """
 
 from __future__ import annotations
@@ -40,19 +40,24 @@ from vigil.llm import hashing, repeats, scratch
 from vigil.plans.shipping import ship
 
 WINDOW, GRAM, STEP = 400, 32, 16
-#: Members gathered in a task at most: some 1.5 MB of text.
-BUCKET = 2048
+#: Members gathered in a task at most: some 200 KB of text.
+BUCKET = 256
 ROUNDS = 9  # 2^9 places are more than an anchor can have in a window
 
 
-def _cells(text: bytes) -> Iterator[tuple]:
-    for c in range(0, len(text) - WINDOW + 1, repeats.CHUNK):
-        own = text[c : c + repeats.CHUNK + WINDOW - 1]
-        grams = hashing.Stretches(np.frombuffer(own, np.uint8)).every(GRAM)
-        lo, hi, anchor = repeats.cells_of(grams, WINDOW, GRAM)
-        keys = grams[anchor].view(np.int64).tolist()
-        for a, b, m, k in zip(lo.tolist(), hi.tolist(), anchor.tolist(), keys, strict=True):
-            yield (a + c, b + c, m + c, k, *repeats.digest128(own[a : b + WINDOW]))
+def _pieces(text: bytes) -> Iterator[tuple[int, bytes]]:
+    for c in range(0, len(text) - WINDOW + 1, repeats.LIMIT):
+        yield c, text[c : c + repeats.LIMIT + WINDOW - 1]
+
+
+def _cells(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    first = np.cumsum([0, *map(len, texts[:-1])])
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    grams = hashing.Stretches(data).every(GRAM)
+    lo, n, anchor = repeats.cells_of(grams, owner, WINDOW, GRAM)
+    owner = owner[lo]
+    return owner, lo - first[owner], n, anchor - lo, grams[anchor].view(np.int64), hashing.Stretches(data, 2).hash(lo, lo + n + WINDOW - 1).view(np.int64)
 
 
 def repeated_starts(members: list[bytes]) -> list[np.ndarray]:
@@ -92,7 +97,9 @@ def _nodes(cells: DataFrame, docs: DataFrame) -> DataFrame:
     b1, b2 (bucket), block (range of the anchor's places), n (members of the bucket)."""
     ship(docs.sparkSession)
     schema = T.StructType([docs.schema["doc"], docs.schema["th"], *T._parse_datatype_string(NODE).fields])
-    rows = repeats.beside_text(docs, repeats.per_document(cells, "lo", "hi", "anchor", "gram", "n"))
+    sizes = scratch.table(cells.groupBy("gram").agg(F.count("*").alias("members")))
+    cells = cells.join(sizes, "gram").select("doc", "th", F.struct("at", "gram", "members").alias("x"))
+    rows = repeats.beside_text(docs, scratch.table(repeats.per_document(cells, "x")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,8 +107,9 @@ def _nodes(cells: DataFrame, docs: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 text = batch.column(2)[i].as_py()
                 for p in batch.column(3)[i].as_py():
+                    lo, n, off = repeats.unpacked(p["at"])
                     at.append(i)
-                    out.append((p["lo"], p["anchor"] - p["lo"], p["hi"] - p["lo"] + 1, p["gram"], 0, 0, text[p["lo"] : p["hi"] + WINDOW], p["n"]))
+                    out.append((lo, off, n, p["gram"], 0, 0, text[lo : lo + n + WINDOW - 1], p["members"]))
                 if len(out) >= 20_000 or i == batch.num_rows - 1:
                     yield _node_batch([c.take(pa.array(at, pa.int64())) for c in batch.columns[:2]], out, schema)
                     at, out = [], []
@@ -133,7 +141,7 @@ def _halves(nodes: DataFrame, level: int) -> DataFrame:
             if a > b:
                 continue
             x, y = shared(row["at"], first)
-            bucket = repeats.digest128(b"%d %d %d " % (row["b1"], row["b2"], block) + row["text"][x:y])
+            bucket = hashing.digest128(b"%d %d %d " % (row["b1"], row["b2"], block) + row["text"][x:y])
             yield (row["lo"] + a, row["at"] - a, b - a + 1, *bucket, block, row["text"][a : b + WINDOW], 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,21 +181,17 @@ def _refined(nodes: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc, th, lo, hi) of ``repeats.keyed`` documents: byte spans [lo, hi) of windows that start elsewhere too."""
-    cells = scratch.table(repeats.cell_rows(docs, _cells))
-    marked = cells.join(scratch.table(repeats.copies(cells)), ["u1", "u2"], "left")
-    marked = scratch.table(marked.withColumns({"copied": F.col("first").isNotNull(), "head": F.col("first").isNull() | (F.col("first") == repeats.place("lo"))}).drop("first", "u1", "u2"))
-    scratch.drop(cells)
-    repeats.settle()
-    found = [marked.filter("copied").select("doc", "th", "lo", (F.col("hi") + WINDOW).alias("hi"))]
-    nodes = _nodes(scratch.table(repeats.contested(marked.filter("head"))), docs)
-    repeats.settle()
+    cells = scratch.table(repeats.met(docs, _pieces, _cells, ordered=False))
+    lo = repeats.lo_of("at")
+    found = [cells.filter("final").select("doc", "th", lo.alias("lo"), (lo + repeats.n_of("at") + (WINDOW - 1)).alias("hi"))]
+    nodes = _nodes(cells.filter("further"), docs)
     for level in range(1, ROUNDS + 1):
         found.append(_refined(nodes.filter(F.col("n") <= BUCKET)))
         large = nodes.filter(F.col("n") > BUCKET)
         if large.isEmpty():
             break
         halves = scratch.table(_halves(large, level))
-        sizes = halves.groupBy("b1", "b2").agg(F.count("*").alias("n")).filter("n > 1")
+        sizes = scratch.table(halves.groupBy("b1", "b2").agg(F.count("*").alias("n")).filter("n > 1"))
         nodes = scratch.table(halves.join(sizes, ["b1", "b2"]).select(*nodes.columns))
         if level == ROUNDS:  # the shared text is the window itself: all that is left is repeated
             found.append(nodes.select("doc", "th", "lo", (F.col("lo") + WINDOW).alias("hi")))
@@ -201,14 +205,14 @@ def removed_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Per document: id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left, as text)."""
     ship(docs.sparkSession)
     own = repeats.keyed(docs, id_col, text_col)
-    spans = scratch.table(repeats.per_document(repeated_spans(own), "lo", "hi"))
-    repeats.settle()
+    spans = scratch.table(repeats.per_document(repeated_spans(own).withColumn("x", F.struct("lo", "hi")), "x"))
     rows = repeats.beside_text(own, spans, "left")
     fields = T._parse_datatype_string("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string").fields
     schema = T.StructType([T.StructField(id_col, rows.schema["doc"].dataType), *fields])
 
-    def cut(text: bytes, parts: list[dict] | None) -> tuple[int, int, int, str, str]:
-        merged, kept, at = repeats.union_of([(p["lo"], p["hi"]) for p in parts or ()]), [], 0
+    def cut(text: bytes, parts: pa.ListScalar) -> tuple[int, int, int, str, str]:
+        merged = repeats.union_of(*[parts.values.field(k).to_numpy() for k in ("lo", "hi")]) if parts.is_valid else []
+        kept, at = [], 0
         for a, b in merged:
             kept.append(text[at:a])
             at = b
@@ -217,7 +221,7 @@ def removed_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [cut(t.as_py(), p.as_py()) for t, p in zip(batch.column(2), batch.column(3), strict=True)]
+            out = [cut(t.as_py(), p) for t, p in zip(batch.column(2), batch.column(3), strict=True)]
             columns = list(zip(*out, strict=True)) if out else [()] * 5
             kinds = [pa.int64()] * 3 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)]], schema.names)

@@ -1,12 +1,17 @@
-"""What the two repeated-text operators share: anchored cells, copies of cells, and cutting spans out of documents.
+"""What the two repeated-text operators share: anchored cells, where cells meet, and spans beside their documents.
 
 A window (so many bytes, or so many words) is known by its anchor: the place of the least-hashed short gram inside it,
 the first of equal ones. Equal windows have their anchor at the same place, so windows can only be equal where grams at
 anchors are. Neighbouring windows with the same anchor make a cell; a cell and all text its windows cover is one row.
 A corpus thus has one row for about half a window, not one for each position, and loses no window.
 
-Cells of equal text are first brought together: of these one stays as their representative. Only representatives whose
-anchor gram occurs in another one can hold windows of which part of the cell is repeated; those are refined further.
+Cells meet by their gram, in one shuffle. Cells of equal text (by two 64-bit hashes, of the gram and of the whole) are
+settled there: one stays as their representative. Only a representative whose gram another text has too (it is
+contested) can hold windows of which part of the cell is repeated; those go on to the operator's own refinement.
+
+What meets within a part of a batch is dealt with before the shuffle, so that a gram or a text, however common, sends
+one row a part: copies of a cell in the part are settled; a gram with several texts in the part is contested already,
+and its cells go on at once, leaving one mark for the other parts.
 
 A document is known by its id and a hash of its text, so ids that repeat or are null do no harm. Rows that repeat both
 count as one document wherever one document's own order matters.
@@ -14,23 +19,23 @@ count as one document wherever one document's own order matters.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.llm import hashing, scratch
+from vigil.llm import hashing
 from vigil.plans.shipping import ship
 
-#: Windows handled at a time within a document, which bounds memory for any length of text.
-CHUNK = 1 << 20
-KEY = ("doc", "th")
-CELL = "lo long, hi long, anchor long, gram long, u1 long, u2 long"
+#: Text handled at a time, in bytes, and windows of one long document.
+LIMIT, CHUNK = 1 << 20, 1 << 17
+#: Rows of a part.
+PART = 300_000
+#: What is known of a row: it is settled (0), contested, open, a copy that still stands for its text, a mark.
+HARD, OPEN, DONE, MARK = 1, 2, 4, 8
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -39,81 +44,168 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").alias("doc"), F.xxhash64(text).alias("th"), text.cast("binary").alias("text"))
 
 
-def digest128(data: bytes) -> tuple[int, int]:
-    d = xxhash.xxh3_128_intdigest(data)
-    return _signed(d >> 64), _signed(d & (2**64 - 1))
+def packed(lo: np.ndarray, n: np.ndarray, off: np.ndarray, state: np.ndarray | int) -> np.ndarray:
+    """A cell's first window, number of windows, and distance from there to the anchor, with its state, in one number."""
+    return lo.astype(np.int64) << 28 | n << 16 | off << 4 | state
 
 
-def _signed(x: int) -> int:
-    return x - 2**64 if x >= 2**63 else x
+def lo_of(at: Column | str) -> Column:
+    return F.shiftright(at, 28)
 
 
-def cells_of(grams: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, last window and anchor of each cell, from the hashes of all grams of a text."""
-    place = hashing.window_least(grams, window - gram + 1)
-    if not len(place):
-        return place, place, place
-    lo, hi = hashing.runs(place)
-    return lo, hi, place[lo]
+def n_of(at: Column | str) -> Column:
+    return F.shiftright(at, 16).bitwiseAND(F.lit(0xFFF))
 
 
-def cell_rows(docs: DataFrame, cells: Callable[[bytes], Iterator[tuple]], settled: bool = False) -> DataFrame:
-    """The cells of all documents, made anew whenever they are read; ``cells`` gives a text's as rows (lo, hi, anchor, gram, u1, u2).
+def is_(at: Column | str, bit: int) -> Column:
+    return (F.col(at) if isinstance(at, str) else at).bitwiseAND(F.lit(bit)) != 0
 
-    ``settled``: a cell that is later than an equal one among those made with it has anchor -1, gram and u2 0 and a small
-    number of its own as u1, so that of a text however common only one cell a part is shuffled to the others."""
-    ship(docs.sparkSession)
-    schema = T.StructType([docs.schema["doc"], docs.schema["th"], *T._parse_datatype_string(CELL).fields])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rank = _ranks(batch) if settled else None
-            for at, rows in _gathered(batch, lambda row: cells(row[2])):
-                yield _settled(batch, at, rows, rank, schema) if settled and rows else _rebatch(batch, at, rows, schema)
+def unpacked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return at >> 28, at >> 16 & 0xFFF, at >> 4 & 0xFFF
 
-    return docs.select("doc", "th", "text").mapInArrow(run, schema)
+
+def cells_of(grams: np.ndarray, owner: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window, number of windows and anchor of each cell, from the hashes of all grams of several texts in a row;
+    ``owner`` says whose each item is. Windows across two texts are none."""
+    place = hashing.window_least(grams, window - gram + 1)
+    own = np.flatnonzero(owner[: len(place)] == owner[window - 1 :]) if len(place) else place
+    if not len(own):
+        return own, own, own
+    first = np.concatenate(([0], np.flatnonzero((np.diff(place[own]) != 0) | (np.diff(own) != 1)) + 1))
+    return own[first], np.diff(np.append(first, len(own))), place[own[first]]
 
 
-def _ranks(batch: pa.RecordBatch) -> np.ndarray:
+def ranks(batch: pa.RecordBatch) -> np.ndarray:
     """Each row's rank in the order of ``place``; rows with the same id and text share one."""
     keys = [(d is None, 0 if d is None else d, th) for d, th in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
     rank = {k: i for i, k in enumerate(sorted(set(keys)))}
     return np.array([rank[k] for k in keys], np.int64)
 
 
-def _settled(batch: pa.RecordBatch, at: list, rows: list, rank: np.ndarray, schema: T.StructType) -> pa.RecordBatch:
-    """As ``_rebatch``, with those rows marked that are later than another one of equal text."""
-    lo, _, anchor, gram, u1, u2 = own = np.array(rows, np.int64).T.copy()
-    doc = rank[at]
-    order = np.lexsort((lo, doc, u2, u1))
-    new = np.concatenate(([True], (np.diff(u1[order]) != 0) | (np.diff(u2[order]) != 0)))
-    head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-    later = order[(doc[order] != doc[head]) | (lo[order] != lo[head])]
-    th = batch.column(1).to_numpy()[np.array(at)[later]].view(np.uint64)
-    # 32 bits spread the marked rows over any cluster and are half the bytes to shuffle
-    u1[later] = (hashing.mix(hashing.mix(th) + later.astype(np.uint64)) >> np.uint64(32)).view(np.int64)
-    anchor[later], gram[later], u2[later] = -1, 0, 0
-    columns = [c.take(pa.array(at, pa.int64())) for c in batch.columns[:2]]
-    return pa.RecordBatch.from_arrays([*columns, *map(pa.array, own)], schema.names)
-
-
-def _gathered(batch: pa.RecordBatch, rows_of: Callable[[tuple], Iterator[tuple]], most: int = 200_000) -> Iterator[tuple[list, list]]:
-    """The rows made from a batch's, in parts of bounded size, with the number of the row each came from."""
-    at, rows = [], []
-    for i in range(batch.num_rows):
-        for row in rows_of(tuple(c[i].as_py() for c in batch.columns)):
-            at.append(i)
-            rows.append(row)
-            if len(rows) >= most:
-                yield at, rows
-                at, rows = [], []
-    yield at, rows
-
-
-def _rebatch(batch: pa.RecordBatch, at: list, rows: list, schema: T.StructType) -> pa.RecordBatch:
-    columns = [c.take(pa.array(at, pa.int64())) for c in batch.columns[:2]]
-    new = zip(*rows, strict=True) if rows else [()] * (len(schema) - 2)
-    return pa.RecordBatch.from_arrays([*columns, *[pa.array(list(c), pa.int64()) for c in new]], schema.names)
+def heads(rank: np.ndarray, lo: np.ndarray, *key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of rows by key and place, and for each place in it where its key begins and whether it repeats the place
+    before it."""
+    order = np.lexsort((lo, rank, *key[::-1]))
+    differs = lambda *columns: np.concatenate(([True], np.any([np.diff(c[order]) != 0 for c in columns], axis=0)))
+    new, moved = differs(*key), differs(*key, rank, lo)
+    return order, np.maximum.accumulate(np.where(new, np.arange(len(order)), 0)), ~moved
+
+
+def crowded(key: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows have a key that several different parts have, and one row for each such key."""
+    order = np.lexsort((part, key))
+    k, p = key[order], part[order]
+    new = np.concatenate(([True], k[1:] != k[:-1]))
+    more = np.concatenate(([False], (k[1:] == k[:-1]) & (p[1:] != p[:-1])))
+    group = np.cumsum(new) - 1
+    many = np.zeros(group[-1] + 1, bool)
+    many[group[more]] = True
+    out = np.zeros(len(key), bool)
+    out[order] = many[group]
+    return out, order[new & many[group]]
+
+
+def scattered(*of: np.ndarray) -> np.ndarray:
+    """Numbers that spread rows which need to meet nothing over the cluster; 32 bits are half the bytes to shuffle."""
+    h = np.zeros(len(of[0]), np.uint64)
+    for x in of:
+        h = hashing.mix(h + x.view(np.uint64))
+    return (h >> np.uint64(32)).view(np.int64)
+
+
+def _settled(rank: np.ndarray, cells: tuple[np.ndarray, ...], ordered: bool) -> tuple[np.ndarray, ...]:
+    """(row, at, gram, u) of a part's rows: see the module's text."""
+    row, lo, n, off, gram, u = cells
+    order, head, again = heads(rank[row], lo, gram, u)
+    first = head == np.arange(len(order))
+    state = np.zeros(len(order), np.int64)
+    state[first] = OPEN
+    if not ordered:  # both ends of a repeat go, a repeated row being a text of its own
+        copied = np.zeros(len(order), bool)
+        copied[head[~first]] = True
+        state[first & copied] |= DONE
+    keep = ~(again & ~first)
+    order, state, first = order[keep], state[keep], first[keep]
+    row, lo, n, off, gram, u = (c[order] for c in (row, lo, n, off, gram, u))
+    mine = np.flatnonzero(first)
+    hard, marks = crowded(gram[mine], u[mine])
+    state[mine[hard]] += HARD - OPEN
+    marks = mine[marks]
+    free = state & OPEN == 0
+    key = np.where(free, scattered(row, lo, gram), gram)
+    cat = lambda a, b: np.concatenate((a, b))
+    return (
+        cat(row, row[marks]),
+        cat(packed(lo, n, off, state), packed(lo[marks], n[marks], off[marks], OPEN | MARK)),
+        cat(key, gram[marks]),
+        cat(np.where(free, 0, u), u[marks]),
+        cat(np.where(state & HARD != 0, gram, 0), np.zeros(len(marks), np.int64)),
+    )
+
+
+Pieces = Callable[[bytes], Iterator[tuple[int, bytes]]]
+Cells = Callable[[list[bytes]], tuple[np.ndarray, ...]]
+
+
+def blocks(texts: Iterator[tuple[int, bytes]], pieces: Pieces) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """(row, place of the first item, bytes) of texts and of pieces of long ones, ``LIMIT`` bytes at a time."""
+    rows, base, own, size = [], [], [], 0
+    for i, text in texts:
+        for at, piece in pieces(text):
+            rows.append(i)
+            base.append(at)
+            own.append(piece)
+            size += len(piece)
+            if size >= LIMIT:
+                yield np.array(rows), np.array(base), own
+                rows, base, own, size = [], [], [], 0
+    if rows:
+        yield np.array(rows), np.array(base), own
+
+
+def met(docs: DataFrame, pieces: Pieces, cells: Cells, ordered: bool) -> DataFrame:
+    """(doc, th, at, gram, final, further) of ``keyed`` documents' cells that repeat, wholly (final) or perhaps in part
+    (further). ``cells`` makes (piece, first window, windows, distance to the anchor, gram, hash of all) from a list of
+    pieces. ``ordered``: the first of equal cells is no repeat; else all are."""
+    ship(docs.sparkSession)
+    schema = T.StructType([docs.schema["doc"], docs.schema["th"], *[T.StructField(c, T.LongType()) for c in ("at", "key", "u", "gram")]])
+
+    def part_rows(batch: pa.RecordBatch, rank: np.ndarray, have: list[tuple]) -> pa.RecordBatch:
+        row, *own = _settled(rank, tuple(np.concatenate(c) for c in zip(*have, strict=True)), ordered)
+        at = pa.array(row)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *map(pa.array, own)], schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rank, have, size = ranks(batch), [], 0
+            for rows, base, texts in blocks(((i, t.as_py()) for i, t in enumerate(batch.column(2))), pieces):
+                piece, lo, *more = cells(texts)
+                if len(piece):
+                    have.append((rows[piece], lo + base[piece], *more))
+                    size += len(piece)
+                if size >= PART:
+                    yield part_rows(batch, rank, have)
+                    have, size = [], 0
+            if have:
+                yield part_rows(batch, rank, have)
+
+    made = docs.select("doc", "th", "text").mapInArrow(run, schema)
+    # a key has no more rows than there are parts
+    all_ = Window.partitionBy("key")
+    same = Window.partitionBy("key", "u").orderBy(F.col("is_mark"), place(lo_of("at")))
+    rows = made.withColumns({"is_open": is_("at", OPEN), "is_mark": is_("at", MARK)})
+    rows = rows.withColumns({"n": F.row_number().over(same), "contested": (F.min("u").over(all_) != F.max("u").over(all_)) | F.max("is_mark").over(all_)})
+    if ordered:
+        later = F.first(place(lo_of("at"))).over(same.rowsBetween(Window.unboundedPreceding, Window.currentRow)) < place(lo_of("at"))
+        head = ~later
+        final = ~is_("at", HARD) & (~F.col("is_open") | later)
+    else:
+        head = F.col("n") == 1
+        final = is_("at", DONE) | F.when(F.col("is_open"), F.count_if(~F.col("is_mark")).over(Window.partitionBy("key", "u")) > 1).otherwise(~is_("at", HARD))
+    further = is_("at", HARD) | (F.col("is_open") & head & F.col("contested"))
+    rows = rows.withColumns({"final": final, "further": further}).filter("not is_mark and (final or further)")
+    return rows.select("doc", "th", "at", F.when(F.col("is_open"), F.col("key")).otherwise(F.col("gram")).alias("gram"), "final", "further")
 
 
 def place(*more: Column | str) -> Column:
@@ -121,45 +213,26 @@ def place(*more: Column | str) -> Column:
     return F.struct(F.col("doc").isNull().alias("n"), F.col("doc"), F.col("th"), *more)
 
 
-def copies(cells: DataFrame) -> DataFrame:
-    """For each text that several cells have: (u1, u2, first), the first place of them. Write it as a table before
-    joining it: a join below which the aggregation shares its shuffle can't split a skewed key."""
-    return cells.groupBy("u1", "u2").agg(F.min(place("lo")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-
-
-def contested(cells: DataFrame) -> DataFrame:
-    """The cells whose gram is the anchor of several, with their number n."""
-    return cells.join(scratch.table(cells.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")), "gram")
-
-
 def same_document(a: str, b: str) -> Column:
     return F.col(f"{a}.doc").eqNullSafe(F.col(f"{b}.doc")) & (F.col(f"{a}.th") == F.col(f"{b}.th"))
 
 
-def per_document(rows: DataFrame, *columns: str) -> DataFrame:
-    """(doc, th, parts): each document's rows as an array, bounded by its own length."""
-    return rows.groupBy("doc", "th").agg(F.collect_list(F.struct(*columns)).alias("parts"))
+def per_document(rows: DataFrame, column: str) -> DataFrame:
+    """(doc, th, parts): the numbers of each document's rows as an array, bounded by its own length."""
+    return rows.groupBy("doc", "th").agg(F.collect_list(column).alias("parts"))
 
 
 def beside_text(docs: DataFrame, parts: DataFrame, how: str = "inner") -> DataFrame:
-    """(doc, th, text, parts)."""
+    """(doc, th, text, parts). ``parts`` should be a written table: a join below which its aggregation shares the
+    shuffle can't split a skewed key."""
     return docs.alias("d").join(parts.alias("p"), same_document("d", "p"), how).select("d.doc", "d.th", "d.text", "p.parts")
 
 
-def union_of(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans (start, end) merged where they touch or overlap."""
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [tuple(x) for x in out]
-
-
-def settle() -> None:
-    """Let Spark delete the shuffle files of plans that are written and done."""
-    from pyspark import SparkContext
-
-    gc.collect()
-    SparkContext._active_spark_context._jvm.System.gc()
+def union_of(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
+    """Spans [lo, hi) merged where they touch or overlap."""
+    if not len(lo):
+        return []
+    order = np.argsort(lo, kind="stable")
+    lo, end = lo[order], np.maximum.accumulate(hi[order])
+    first = np.concatenate(([True], lo[1:] > end[:-1]))
+    return list(zip(lo[first].tolist(), end[np.append(np.flatnonzero(first)[1:] - 1, len(lo) - 1)].tolist(), strict=True))

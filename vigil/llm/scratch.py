@@ -1,8 +1,8 @@
 """Intermediate tables in the folder that driver and executors share.
 
 A long plan is cut by writing a table and reading it back, so that a lost executor costs a reread and not a
-recomputation. The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests)
-a temporary folder of this process takes its place.
+recomputation. The folder is the one the cluster names in ``spark.checkpoint.dir``; only on a local master, where
+driver and executors are one process, does a temporary folder take its place if that is unset.
 """
 
 from __future__ import annotations
@@ -11,16 +11,23 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+#: Spark then deletes the shuffle files of a query when it ends, and not when its driver next collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def folder(spark: SparkSession) -> str:
     """A new, unused path below the shared folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir is unset: on {master} it must name a folder that driver and executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="vigil-"))
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -28,16 +35,29 @@ def folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/vigil-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """What is run inside leaves no shuffle files. For queries that are run once."""
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def table(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and return the reread table."""
     spark, path = df.sparkSession, folder(df.sparkSession)
-    df.write.parquet(path)
+    with cleaned(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Delete a table made by ``table`` that no plan reads any more."""
-    spark = df.sparkSession
-    for name in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop(*tables: DataFrame) -> None:
+    """Delete tables made by ``table`` that no plan reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for name in df.inputFiles()[:1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
