@@ -181,7 +181,7 @@ def test_leaks(spark, docs, none, rows):
     items = [(1, " ".join(rows[0][1].split()[:30])), (2, rows[68][1]), (3, None), (4, "not in any of the documents here"), (5, "word"), (6, ""), (1, " ".join(rows[0][1].split()[:30]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     words = lambda t: re.sub(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]", " ", (t or "").lower()).split()
-    want = {}
+    want, bad = {}, set()  # the row decides: another one with its id (or none) stays
     for d, t, *_ in rows:
         w = words(t)
         for i, it in items:
@@ -194,16 +194,48 @@ def test_leaks(spark, docs, none, rows):
             best = max((sum((b & (c := bagged(w[s : s + n]))).values()) / max(1, sum((b | c).values())) for s in range(max(1, len(w) - n + 1))), default=0)
             if best >= 0.8:
                 want[d, i] = max(want.get((d, i), 0), round(best, 6))
+                bad.add((d, t))
     got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.leaks(docs, bench).collect()}
     assert got == want and len(want) > 20
     clean = decontaminate.without_leaks(docs, bench)
     assert clean.columns == docs.columns
-    bad = {d for d, _ in want}
-    assert bag((r["doc_id"],) for r in clean.collect()) == bag((d,) for d, *_ in rows if d not in bad)
+    assert bag((r["doc_id"], r["text"]) for r in clean.collect()) == bag((d, t) for d, t, *_ in rows if (d, t) not in bad)
     assert decontaminate.leaks(none, bench).count() == 0
     assert decontaminate.without_leaks(docs, bench.limit(0)).count() == len(rows)
 
 
+def test_candidates_come_from_the_hamming_blocks(spark, docs, rows, monkeypatch):
+    item = " ".join(rows[0][1].split()[:30])
+    near = item.split()
+    near[15] = "another"
+    index = decontaminate.Index([(1, item), (None, "an item without an id is searched too")])
+    assert [x[0] for x in index.search(f"some words before {item} and after")] == [1]
+    assert [x[0] for x in index.search("here an item without an id is searched too and more")] == [None]
+    monkeypatch.setattr(decontaminate._Table, "within", lambda self, fps: (np.zeros(0, int), np.zeros(0, int)))
+    assert index.search(item) == []
+
+
+def test_blocks_find_all_within_the_radius():
+    rng = np.random.default_rng(4)
+    item = decontaminate._Item(1, " ".join(f"w{i}" for i in range(40)))
+    table = decontaminate._Table([item, item])
+    own = int(table.fps[0])
+    for k in range(30):
+        fps = np.array([own ^ sum(1 << int(b) for b in rng.choice(64, k, replace=False)) for _ in range(50)], np.uint64)
+        assert len(table.within(fps)[0]) == (100 if k <= decontaminate.RADIUS else 0)
+
+
+def test_similarities_move_along():
+    rng = np.random.default_rng(5)
+    item = decontaminate._Item(1, " ".join(map(str, rng.integers(0, 6, 40))))
+    hashes = item.hashes[rng.integers(0, len(item.hashes), 300)]
+    width, starts = 30, [0, 1, 5, 6, 40, 100, 110, 111, 270]
+    for (got, s), at in zip(decontaminate._similarities(item, hashes, starts, width), starts, strict=True):
+        own = collections.Counter(hashes[at : at + width].tolist())
+        shared = sum((own & item.counts).values())
+        assert s == at and got == shared / (width + len(item.hashes) - shared)
+
+
 def test_license_scan(spark, none):
     filler = "lorem ipsum dolor sit amet consectetur " * 30
     T = license_scan.TEMPLATES

@@ -1,19 +1,24 @@
 """Benchmark decontamination: item-sized windows, SimHash with multi-index Hamming blocks, exact verification.
 
 Texts and items are lower-cased and cut into runs of letters and digits, so case and punctuation don't hide a leak; a
-shingle is five words (a shorter item is one shingle). For an item of n words, every window of n words of a document
-that shares a shingle with the item gets a 64-bit SimHash over its shingles, repeats weighing as often as they occur.
-Fingerprints are cut into ``RADIUS`` + 1 blocks: within the radius at least one block is equal, so comparing blocks
-finds every fingerprint within it. Candidates are verified by the weighted Jaccard similarity of the shingles (sum of
-lesser over sum of greater counts), which must be ``SIMILARITY`` or more. Windows that share no shingle have similarity
-0, so passing over them loses nothing. The radius is three deviations beyond the mean distance at that similarity.
-
-Defined results: null and empty texts and items match nothing; a document or item in two rows gives a match for each
-document id and item id once; a document of fewer words than an item is compared as a whole; extra columns don't
-matter to ``leaks`` and stay in ``without_leaks``.
-
-Scale: the items are the stated query set. They are sent to all tasks in blocks of at most ``BLOCK_BYTES`` of text,
-each block being one narrow pass over the documents; documents are never shuffled in ``leaks``.
+shingle is five words (a shorter item is one shingle). For an item of n words, windows of n words get a 64-bit SimHash
+over their shingles, repeats weighing as often as they occur. Fingerprints are cut into ``BLOCKS`` blocks of 16 bits, and
+a table has each item under all values within ``RADIUS`` // ``BLOCKS`` bits of each of its blocks: of two fingerprints
+within the radius some block differs in no more bits than that, so looking up a window's blocks finds every item within
+it. That is where candidates come from. They are verified by the weighted Jaccard similarity of the shingles (sum of
+lesser over sum of greater counts), which must be ``SIMILARITY`` or more. The radius is three deviations beyond the mean
+distance at that similarity.
+
+One filter keeps this off the mass of text: a window in which too few shingles are any item's to reach the similarity
+with one is not fingerprinted. It knows no items apart and loses nothing.
+
+Defined results: null and empty texts and items match nothing; an item without an id is searched like any other; a
+document or item in two rows gives a match for each document id and item id once; a document of fewer words than an item
+is compared as a whole; extra columns don't matter to ``leaks`` and stay in ``without_leaks``.
+
+Scale: the items are the stated query set. They are sent to all tasks in blocks of at most ``BLOCK_BYTES`` of text and
+``BLOCK_ITEMS`` items, one after another, each being one narrow pass over the documents whose finds are written before
+the next; documents are never shuffled in ``leaks``.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +39,10 @@ from vigil.llm import hashing, scratch
 from vigil.plans.shipping import ship
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 19
-BLOCK_BYTES = 8_000_000
-#: Windows compared at a time, which bounds memory in long documents.
-CHUNK = 4096
+BLOCKS = 4
+BLOCK_BYTES, BLOCK_ITEMS = 2_000_000, 2_000
+#: Shingles whose bits are summed at a time, which bounds memory in long documents.
+CHUNK = 8192
 _NOT_WORD = re.compile(rb"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]")
 _CLEAN = bytes(32 if _NOT_WORD.match(bytes([i])) else i for i in range(256))
 _FILTER_BITS = 20
@@ -46,13 +53,14 @@ def _word_bytes(text: str | None) -> bytes:
     return (text or "").lower().encode().translate(_CLEAN)
 
 
+def _word_hashes(data: bytes) -> np.ndarray:
+    return hashing.word_hashes(data, *hashing.words(data))
+
+
 def _shingles(data: bytes) -> tuple[np.ndarray, int]:
     """Hashes of the shingles in order, and the number of words."""
-    start, end = hashing.words(data)
-    if not len(start):
-        return np.zeros(0, np.uint64), 0
-    own = hashing.Stretches(np.frombuffer(data, np.uint8)).hash(start, end)
-    return hashing.Stretches(own).every(min(SHINGLE, len(own))), len(own)
+    own = _word_hashes(data)
+    return hashing.Stretches(own).every(min(SHINGLE, len(own))) if len(own) else own, len(own)
 
 
 def _simhashes(bits: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
@@ -67,95 +75,149 @@ def _running_bits(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _blocks() -> list[np.uint64]:
-    """Masks of RADIUS + 1 blocks that make up the 64 bits."""
-    edge = np.linspace(0, 64, RADIUS + 2).round().astype(int).tolist()
-    return [np.uint64((1 << b) - (1 << a)) for a, b in zip(edge, edge[1:])]
+def _fingerprint(hashes: np.ndarray) -> np.uint64:
+    """The fingerprint of one window, however long."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), CHUNK):
+        ones += np.unpackbits(hashes[k : k + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0]
+
+
+def _blocks_of(fps: np.ndarray) -> np.ndarray:
+    """(n, BLOCKS): the blocks of fingerprints."""
+    return fps.view(np.uint16).reshape(-1, BLOCKS)
+
+
+#: Differences of up to RADIUS // BLOCKS bits within a block.
+_NEAR = np.array([sum(1 << b for b in c) for k in range(RADIUS // BLOCKS + 1) for c in combinations(range(64 // BLOCKS), k)], np.uint16)
 
 
 class _Item:
-    def __init__(self, item_id: int, text: str):
+    def __init__(self, item_id: object, text: str):
         self.id = item_id
-        self.hashes, self.words = _shingles(_word_bytes(text))
+        own = _word_hashes(_word_bytes(text))
+        self.words, self.unit = len(own), min(SHINGLE, len(own))
+        self.hashes = hashing.Stretches(own).every(self.unit) if len(own) else own
         self.counts = Counter(self.hashes.tolist())
-        n = len(self.hashes)
-        self.fingerprint = _simhashes(_running_bits(self.hashes), np.zeros(1, np.int64), n)[0] if n else np.uint64(0)
+
+
+class _Table:
+    """Items of one number of shingles under the values near each block of their fingerprints."""
+
+    def __init__(self, items: list[_Item]):
+        self.items = items
+        self.fps = np.array([_fingerprint(x.hashes) for x in items], np.uint64)
+        self.keys, self.item = [], []
+        for b in range(BLOCKS):
+            near = (_blocks_of(self.fps)[:, b][:, None] ^ _NEAR[None, :]).ravel()
+            order = np.argsort(near, kind="stable")
+            self.keys.append(near[order])
+            self.item.append(np.repeat(np.arange(len(items)), len(_NEAR))[order])
+
+    def within(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of the number of a fingerprint and of an item that are within the radius, each once."""
+        found = []
+        for b in range(BLOCKS):
+            own = _blocks_of(fps)[:, b]
+            first, last = np.searchsorted(self.keys[b], own), np.searchsorted(self.keys[b], own, "right")
+            n = last - first
+            at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+            found.append(np.repeat(np.arange(len(fps)), n) * len(self.items) + self.item[b][at])
+        found = np.unique(np.concatenate(found))
+        window, item = found // len(self.items), found % len(self.items)
+        near = np.bitwise_count(fps[window] ^ self.fps[item]) <= RADIUS
+        return window[near], item[near]
 
 
 class Index:
-    """A block of items, by their shingles."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        self.items = [x for x in (_Item(*i) for i in items) if x.words]
-        self.of: dict[int, list[int]] = defaultdict(list)
-        for k, x in enumerate(self.items):
-            for h in x.counts:
-                self.of[h].append(k)
-        self.short = sorted({x.words for x in self.items if x.words < SHINGLE})
-        self.filter = np.zeros(1 << _FILTER_BITS, bool)
-        self.filter[np.array(list(self.of), np.uint64) & np.uint64((1 << _FILTER_BITS) - 1)] = True
-
-    def search(self, text: str | None) -> list[tuple[int, float, int, int]]:
+    """A block of items: tables by shingle size and number of shingles, and all their shingles."""
+
+    def __init__(self, items: list[tuple[object, str]]):
+        made = [x for x in (_Item(*i) for i in items) if x.words]
+        by: dict[int, dict[int, list[_Item]]] = defaultdict(lambda: defaultdict(list))
+        for x in made:
+            by[x.unit][len(x.hashes)].append(x)
+        self.tables = {unit: {n: _Table(own) for n, own in sorted(of.items())} for unit, of in by.items()}
+        self.known = {unit: np.unique(np.concatenate([x.hashes for x in made if x.unit == unit])) for unit in by}
+        self.filter = {unit: np.zeros(1 << _FILTER_BITS, bool) for unit in by}
+        for unit, own in self.known.items():
+            self.filter[unit][own & np.uint64((1 << _FILTER_BITS) - 1)] = True
+
+    def _hits(self, unit: int, hashes: np.ndarray) -> np.ndarray:
+        """The places of shingles that are some item's."""
+        maybe = np.flatnonzero(self.filter[unit][hashes & np.uint64((1 << _FILTER_BITS) - 1)])
+        known = self.known[unit]
+        at = np.searchsorted(known, hashes[maybe])
+        return maybe[known[np.minimum(at, len(known) - 1)] == hashes[maybe]]
+
+    def search(self, text: str | None) -> list[tuple[object, float, int, int]]:
         """For each item found, its id, the best similarity, and the first such window's start and length in words."""
-        data = _word_bytes(text)
-        hashes, n = _shingles(data)
-        found = self._among(hashes, n, SHINGLE, lambda x: x.words >= SHINGLE)
-        for size in self.short:  # items of fewer words than a shingle: windows are single shingles of their size
-            if n > size or n == size:
-                start, end = hashing.words(data)
-                own = hashing.Stretches(np.frombuffer(data, np.uint8)).hash(start, end)
-                found += self._among(hashing.Stretches(own).every(size), n, size, lambda x, size=size: x.words == size)
-        return found
-
-    def _among(self, hashes: np.ndarray, n: int, unit: int, wanted) -> list[tuple[int, float, int, int]]:  # noqa: ANN001
-        maybe = np.flatnonzero(self.filter[hashes & np.uint64((1 << _FILTER_BITS) - 1)])
-        hits: dict[int, list[int]] = defaultdict(list)
-        for place, h in zip(maybe.tolist(), hashes[maybe].tolist(), strict=True):
-            for k in self.of.get(h, ()):
-                hits[k].append(place)
-        hits = {k: v for k, v in hits.items() if wanted(self.items[k])}
-        if not hits:
-            return []
-        out = []
-        for k, places in hits.items():
-            item = self.items[k]
-            width = min(len(item.hashes), len(hashes))  # in shingles; a shorter document is one window
-            best = self._best(item, hashes, np.array(places), width)
-            if best[0] >= SIMILARITY:
-                out.append((item.id, best[0], best[1], min(n, width + unit - 1)))
+        own, out = _word_hashes(_word_bytes(text)), []
+        for unit, tables in self.tables.items():
+            if len(own) < unit:
+                continue
+            hashes = hashing.Stretches(own).every(unit)
+            hits = self._hits(unit, hashes)
+            if not len(hits):
+                continue
+            sums = np.zeros(len(hashes) + 1, np.int32)
+            sums[hits + 1] = 1
+            sums = np.cumsum(sums)
+            for n, table in tables.items():
+                width = min(n, len(hashes))  # a shorter document is one window
+                # shared / (width + n - shared) >= 4 / 5
+                starts = np.flatnonzero(9 * (sums[width:] - sums[: len(sums) - width]) >= 4 * (width + n))
+                if len(starts):
+                    out += [(x.id, best[0], best[1], width + unit - 1) for x, best in self._best(table, hashes, starts, width)]
         return out
 
-    def _best(self, item: _Item, hashes: np.ndarray, places: np.ndarray, width: int) -> tuple[float, int]:
-        last = len(hashes) - width
-        mark = np.zeros(last + 2, np.int64)  # windows that hold a hit
-        np.add.at(mark, np.clip(places - width + 1, 0, last), 1)
-        np.add.at(mark, np.clip(places, 0, last) + 1, -1)
-        starts = np.flatnonzero(np.cumsum(mark)[: last + 1] > 0)
-        best = (0.0, -1)
-        for k in range(0, len(starts), CHUNK):
-            own = starts[k : k + CHUNK]
-            base = int(own[0])
-            bits = _running_bits(hashes[base : int(own[-1]) + width])
-            fps = _simhashes(bits, own - base, width)
-            same = np.zeros(len(own), bool)
-            for mask in _blocks():
-                same |= (fps ^ item.fingerprint) & mask == 0
-            near = own[same][np.bitwise_count(fps[same] ^ item.fingerprint) <= RADIUS]
-            for s in near.tolist():
-                counts = Counter(hashes[s : s + width].tolist())
-                shared = sum(min(c, counts[h]) for h, c in item.counts.items() if h in counts)
-                best = max(best, (shared / (width + len(item.hashes) - shared), s), key=lambda x: (x[0], -x[1]))
-        return best
-
-
-def _item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
+    def _best(self, table: _Table, hashes: np.ndarray, starts: np.ndarray, width: int) -> Iterator[tuple[_Item, tuple[float, int]]]:
+        windows: dict[int, list[int]] = defaultdict(list)
+        edge = np.flatnonzero(np.diff(starts) > max(1, min(width, CHUNK)))
+        for run in np.split(starts, edge + 1):
+            for k in range(0, len(run), CHUNK):
+                own = run[k : k + CHUNK]
+                base = int(own[0])
+                if width > CHUNK:  # sums of one window at a time
+                    fps = np.array([_fingerprint(hashes[s : s + width]) for s in own.tolist()], np.uint64)
+                else:
+                    fps = _simhashes(_running_bits(hashes[base : int(own[-1]) + width]), own - base, width)
+                for w, i in zip(*(x.tolist() for x in table.within(fps)), strict=True):
+                    windows[i].append(int(own[w]))
+        for i, at in windows.items():
+            best = max(_similarities(table.items[i], hashes, at, width), key=lambda x: (x[0], -x[1]))
+            if best[0] >= SIMILARITY:
+                yield table.items[i], best
+
+
+def _similarities(item: _Item, hashes: np.ndarray, starts: list[int], width: int) -> Iterator[tuple[float, int]]:
+    """The similarity of the windows that begin at ``starts``, in order; counts move along with the window."""
+    left, shared, before = Counter(), 0, None
+    for s in starts:
+        if before is None or s - before >= width:
+            left, shared, gone, new = Counter(item.counts), 0, (), hashes[s : s + width].tolist()
+        else:
+            gone, new = hashes[before:s].tolist(), hashes[before + width : s + width].tolist()
+        for h in gone:
+            if h in item.counts:
+                left[h] += 1
+                shared -= left[h] > 0
+        for h in new:
+            if h in item.counts:
+                shared += left[h] > 0
+                left[h] -= 1
+        before = s
+        yield shared / (width + len(item.hashes) - shared), s
+
+
+def _item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[object, str]]]:
     """The items in blocks of bounded size, each read by the driver in turn."""
     block, size = [], 0
-    rows = benchmark.select(F.col(f"`{item_col}`").alias("i"), F.col(f"`{text_col}`").alias("t")).filter("i is not null and t is not null").distinct()
+    rows = benchmark.select(F.col(f"`{item_col}`").alias("i"), F.col(f"`{text_col}`").alias("t")).filter("t is not null").distinct()
     for r in rows.toLocalIterator():
         block.append((r["i"], r["t"]))
         size += len(r["t"].encode()) + 64
-        if size >= BLOCK_BYTES:
+        if size >= BLOCK_BYTES or len(block) >= BLOCK_ITEMS:
             yield block
             block, size = [], 0
     if block:
@@ -184,7 +246,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                 cols = [batch.column(0).take(at), pa.array([r[1] for r in rows], kind), *[pa.array([r[k] for r in rows], t) for k, t in ((2, pa.float64()), (3, pa.int64()), (4, pa.int64()))]]
                 yield pa.RecordBatch.from_arrays(cols, schema.names)
 
-        out = out.unionByName(ids.mapInArrow(run, schema))
+        out = out.unionByName(scratch.table(ids.mapInArrow(run, schema)))
+        sent.destroy()
     best = F.max(F.struct("similarity", (-F.col("word_start")).alias("s"), "n_words")).alias("b")
     return out.groupBy(id_col, item_col).agg(best).select(id_col, item_col, F.round("b.similarity", 6).alias("similarity"), (-F.col("b.s")).alias("word_start"), "b.n_words")
 
