@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import gzip
 import hashlib
 import itertools
 
@@ -132,6 +133,23 @@ def test_arc_versions():
     assert found[1]["Result-code"] == "200" and arc_convert._warc_date(found[0]["Archive-date"]) == "2008-04-30T20:48:25Z"
     with pytest.raises(ValueError):
         list(arc_convert.arc_records(v1[:-9]))
+    packed = gzip.compress(v1) + gzip.compress(v2)
+    assert [r["payload"] for r in arc_convert.arc_records(packed)] == [b"hi\nthere"] * 2
+    for cut in (len(packed) - 12, len(gzip.compress(v1)) - 3):
+        with pytest.raises(ValueError, match="compression"):
+            list(arc_convert.arc_records(packed[:cut]))
+    with pytest.raises(ValueError):
+        list(arc_convert.arc_records(b"http://a/ 1.2.3.4 20080430204826 text/html 2\nhi\n"))
+
+
+def test_archives_are_read_piece_by_piece(monkeypatch):
+    monkeypatch.setattr(arc_convert, "READ", 3)
+    pages = [(i, f"http://a/{i}", "x\r\n\r\n\n" * i) for i in range(40)]
+    for version in (1, 2):
+        data = b"\n".join(arc_convert._segments(iter(pages), version, "n")) + b"\n"
+        found = list(arc_convert.arc_records(gzip.compress(data)))
+        assert [(r["page_id"], r["URL"], r["payload"].decode()) for r in found] == pages
+        assert len({r["id"] for r in found}) == len(pages)
 
 
 def test_pipeline(spark, sf_dir):

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 
 import numpy as np
@@ -129,20 +130,75 @@ def test_covering_masks_meet_every_pair_within_the_radius():
             assert any(flips & m == 0 for m in masks)
 
 
-def test_quality(docs, none, rows):
+def _distances(text, lang, refs):
+    """Class and word distance of a text, and whether they let it pass, from definitions."""
+    w, t = WORD.findall(text or ""), text or ""
+    name = lang if lang in quality.COMMON_WORDS else ""
+    classes, hits = refs[name]
+    at = {c: k for k, (chars, _) in enumerate(quality.CLASSES.values()) for c in chars} | {c: len(quality.CLASSES) + 1 for c in quality.LOWER}
+    own = [0] * (len(quality.CLASSES) + 2)
+    for c in t:
+        own[at.get(c, len(quality.CLASSES))] += 1
+
+    def js(p, q):
+        p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+        m = [(a + b) / 2 for a, b in zip(p, q)]
+        return math.sqrt(max(0, sum(sum(a * math.log2(a / c) for a, c in zip(x, m) if a) for x in (p, q)) / 2))
+
+    other = len(quality.CLASSES)
+    class_d = word_d = None
+    if len(t) >= quality.MIN_CLASS_CHARS:
+        if name:
+            class_d = js(own, classes)
+        elif 2 * own[other] <= len(t):
+            class_d = js(own[:other] + own[other + 1 :], classes[:other] + classes[other + 1 :])
+    limit = 1.0
+    if len(w) >= quality.MIN_WORD_COUNT:
+        word_d = 0.0
+        if name:
+            counts = [w.count(x) for x in quality.COMMON_WORDS[name]]
+            word_d = js([*counts, len(w) - sum(counts)], [*hits, 1 - sum(hits)])
+            limit = quality.WORD_FRACTION * js([0] * len(hits) + [1], [*hits, 1 - sum(hits)])
+    return class_d, word_d, (class_d or 0) <= quality.MAX_CLASS_DISTANCE and (word_d or 0) <= limit
+
+
+def test_quality(spark, docs, none, rows):
+    rng = random.Random(12)
+    odd = []
+    for k in range(60):
+        lang = ("de", "en", "es", "fr", "xx", None)[k % 6]
+        listed = quality.COMMON_WORDS.get(lang, ("the", "de"))
+        common, signs = k / 60, "".join(rng.sample("#$%09A.éж漢@_", 3))
+        make = lambda: rng.choice(listed) if rng.random() < common else "".join(rng.choice("abcdefgh" * 3 + signs * (k % 4)) for _ in range(rng.randint(2, 8)))  # noqa: E731, B023
+        odd.append((1000 + k, " ".join(make() for _ in range(rng.choice((60, 150, 400)))), lang, "a"))
+    docs = docs.select("doc_id", "text", "lang", "source").unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string, source string"))
     got = quality.judge(docs).collect()
-    want = []
-    for d, t, *_ in rows:
+    want, refs = [], quality.references()
+    for d, t, lang, _ in [*rows, *odd]:
         w, lines = WORD.findall(t or ""), [x for x in (t or "").split("\n") if WORD.search(x)]
         grams = collections.Counter(zip(w, w[1:], w[2:]))
         cover = {j for i in range(len(w) - 2) if grams[w[i], w[i + 1], w[i + 2]] > 1 for j in (i, i + 1, i + 2)}
         base = len(w) < 50 or 100 * len(cover) > 50 * len(w)
-        want.append((d, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(cover), base))
-    assert bag(tuple(r)[:7] for r in got) == bag(want)
-    assert all(not (r["kept"] and r["base_failed"]) for r in got) and any(r["kept"] for r in got)
+        class_d, word_d, passes = _distances(t, lang, refs)
+        want.append((d, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(cover), base, not base and passes, class_d, word_d))
+    in_order = lambda found: sorted(map(tuple, found), key=lambda r: [(x is None, x or 0) for x in r])
+    for r, x in zip(in_order(got), in_order(want), strict=True):
+        assert r[:8] == x[:8] and r[8:] == pytest.approx(x[8:], abs=2e-6)
+    assert {r["kept"] for r in got if r["doc_id"] and r["doc_id"] >= 1000} == {True, False}
     assert quality.judge(none).count() == 0
     assert quality.keep_clean(docs).columns == docs.columns
     assert quality.keep_clean(docs).count() == sum(r["kept"] for r in got)
+    renamed = docs.select(docs.doc_id.alias("my.id"), docs.text.alias("a.b"), docs.lang.alias("c.d"))
+    assert quality.judge(renamed, "my.id", "a.b", "c.d").filter("kept").count() == sum(r["kept"] for r in got)
+
+
+def test_references_fitted_on_good_documents(spark):
+    rng = random.Random(2)
+    listed = quality.COMMON_WORDS["fr"]
+    good = [(i, " ".join(rng.choice(listed) if rng.random() < 0.5 else "mot" for _ in range(200)), "fr") for i in range(60)] + [(100, "ein Wort", "de")]
+    refs = quality.fitted(spark.createDataFrame(good, "doc_id long, text string, lang string"))
+    assert 0.47 < sum(refs["fr"][1]) < 0.53 and abs(sum(refs["fr"][0]) - 1) < 1e-9
+    assert refs["de"] == quality.references()["de"]  # two words are too few
 
 
 def test_divergence_rejects_odd_text(spark):
@@ -259,6 +315,31 @@ def test_license_scan(spark, none):
         license_scan.template_shingles("too short")
 
 
+def test_license_scan_finds_copies_of_four_fifths(spark):
+    """Planted copies with some words changed, held against the share of shingles that is left in each; a template of
+    1,500 words, longer than all notices, included."""
+    rng = random.Random(8)
+    word = lambda: f"{rng.choice(('under', 'above', 'beside'))}{rng.randrange(900)}"
+    templates = {"long": " ".join(word() for _ in range(1500))} | {k: license_scan.TEMPLATES[k] for k in ("MIT text", "BSD-3-Clause", "Apache-2.0 header", "ISC")}
+    rows, want = [], {}
+    for i in range(80):
+        name = list(templates)[i % 5]
+        own = re.findall(r"[^\W_]+", templates[name].lower())
+        shingles = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+        left = list(own)
+        for _ in range(rng.randint(0, max(1, len(own) // 26))):
+            left[rng.randrange(len(left))] = word()
+        share = len(shingles(own) & shingles(left)) / len(shingles(own))
+        rows.append((i, " ".join([*[word() for _ in range(rng.randint(0, 900))], *left, *[word() for _ in range(rng.randint(0, 300))]]), 1))
+        if share >= 0.8:
+            want[i, name] = share
+    docs = spark.createDataFrame([*rows, rows[0], (500, None, 1)], "doc_id long, text string, `template.x` int")
+    got = {(r["doc_id"], r["template"]): r["containment"] for r in license_scan.scan(docs, templates).collect()}
+    assert {n for _, n in want} == set(templates) and len(want) > 60
+    assert set(got) == set(want)
+    assert all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
 def test_common_cells_send_one_row_a_part(spark):
     line = " ".join(f"w{i}" for i in range(60))
     texts = [line] * 400 + [f"{' '.join(f'x{i}y{j}' for j in range(12))} {' '.join(line.split()[20:32])} {' '.join(f'z{i}y{j}' for j in range(12))}" for i in range(100)]

@@ -11,10 +11,14 @@ Files are written and read by Spark, so any store that Spark knows will do. A ro
 records that end as the format wants (a line feed for ARC, two CR LF for WARC, which the writer's line separator adds);
 rows are closed at ``SEGMENT`` bytes and files after ``PER_FILE`` rows, so neither grows with the input.
 
+Scale: an archive is decompressed as it is parsed, a record at a time, in a narrow pass over the files: once for ids and
+digests, and once for the records, which then meet what was decided for them by their ids. Spark broadcasts the decisions
+if their measured size allows it, and else shuffles both by id, so a task's share follows from the number of records.
+
 Defined results: a null html is an empty payload; a null url is written as ``about:blank``; white space, control and
 other characters that a header line can't hold are percent-encoded; a null page id comes after all others and is read
 back as null; rows that repeat are records of their own, of which one is the response; extra columns are left out; an
-empty table gives an empty result.
+empty table gives an empty result. An archive that ends within a record or within its compression raises an error.
 """
 
 from __future__ import annotations
@@ -36,6 +40,8 @@ from vigil.llm import scratch
 from vigil.plans.shipping import ship
 
 SEGMENT, PER_FILE = 4 << 20, 4
+#: Compressed bytes handed on at a time.
+READ = 1 << 16
 CAPTURED = "20240101000000"
 #: The field names of the two versions' header lines, and the profile of a revisit.
 FIELDS = {
@@ -86,7 +92,9 @@ def _segments(pages: Iterator[tuple], version: int, name: str) -> Iterator[bytes
 
 def _write(rows: DataFrame, path: str, end: str) -> None:
     """Write binary rows as they are, each followed by ``end``."""
-    (rows.select(F.col("value").cast("string")).write.option("lineSep", end).option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).text(path))
+    writer = rows.select(F.col("value").cast("string")).write.option("lineSep", end).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
+    with scratch.cleaned(rows.sparkSession):
+        writer.option("maxRecordsPerFile", PER_FILE).text(path)
 
 
 def write_arc(pages: DataFrame, path: str) -> None:
@@ -102,43 +110,94 @@ def write_arc(pages: DataFrame, path: str) -> None:
     _write(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "value binary"), path, "\n")
 
 
+class _Source:
+    """Bytes read in order; gzip members, of which there may be many, are decompressed as they are needed."""
+
+    def __init__(self, data: bytes):
+        self.parts, self.buffer, self.at, self.passed = self._plain(data), b"", 0, 0
+
+    @staticmethod
+    def _plain(data: bytes) -> Iterator[bytes]:
+        if data[:2] != b"\x1f\x8b":
+            yield data
+            return
+        at, member = 0, zlib.decompressobj(31)
+        while at < len(data):
+            piece = data[at : at + READ]
+            at += len(piece)
+            yield member.decompress(piece)
+            if member.eof:
+                at -= len(member.unused_data)
+                if at < len(data):
+                    member = zlib.decompressobj(31)
+        if not member.eof:
+            raise ValueError("the archive ends within its compression")
+
+    def _more(self) -> bool:
+        for part in self.parts:
+            if part:
+                self.buffer, self.passed, self.at = self.buffer[self.at :] + part, self.passed + self.at, 0
+                return True
+        return False
+
+    @property
+    def place(self) -> int:
+        return self.passed + self.at
+
+    def until(self, end: bytes) -> bytes | None:
+        """What comes before ``end``, and past it; None where nothing is left."""
+        while (found := self.buffer.find(end, self.at)) < 0:
+            if not self._more():
+                if self.at == len(self.buffer):
+                    return None
+                raise ValueError(f"the archive ends within a header: {self.buffer[self.at :][:80]!r}")
+        out = self.buffer[self.at : found]
+        self.at = found + len(end)
+        return out
+
+    def take(self, n: int) -> bytes:
+        """The next n bytes, or fewer at the end."""
+        parts, left = [], n
+        while left:
+            own = self.buffer[self.at : self.at + left]
+            self.at += len(own)
+            left -= len(own)
+            parts.append(own)
+            if left and not self._more():
+                break
+        return b"".join(parts)
+
+
 def arc_records(data: bytes) -> Iterator[dict]:
-    """The records of an ARC file, by the declared lengths."""
-    at, version, name = 0, 0, ""
-    while at < len(data):
-        line_end = data.index(b"\n", at)
-        if line_end == at:  # the line feed between records
-            at += 1
+    """The records of an ARC file, compressed or not, by the declared lengths."""
+    source, version, name, base = _Source(data), 0, "", 0
+    while True:
+        at = source.place
+        line = source.until(b"\n")
+        if line is None:
+            return
+        if not line:  # the line feed between records
             continue
-        line = data[at:line_end].decode()
+        line = line.decode()
         if line.startswith("filedesc://"):
-            length = int(line.rsplit(" ", 1)[1])
-            version, name = int(data[line_end + 1 : line_end + 1 + length].split(b" ", 1)[0]), line.split(" ", 1)[0][11:]
+            about = source.take(int(line.rsplit(" ", 1)[1]))
+            version, name, base = int(about.split(b" ", 1)[0]), line.split(" ", 1)[0][11:], at
             if version not in FIELDS:
                 raise ValueError(f"ARC version {version} is not known")
-            base, at = at, line_end + 1 + length
             continue
+        if version not in FIELDS:
+            raise ValueError(f"a record comes before any version block: {line[:200]!r}")
         names = FIELDS[version].split()
         values = line.rsplit(" ", len(names) - 1)
         if len(values) != len(names):
             raise ValueError(f"not a header line of ARC version {version}: {line[:200]!r}")
         out = dict(zip(names, values, strict=True))
-        body = data[line_end + 1 : line_end + 1 + int(out["Archive-length"])]
+        body = source.take(int(out["Archive-length"]))
         if len(body) != int(out["Archive-length"]):
             raise ValueError(f"the archive ends within {out['URL']}")
         head, _, payload = body.partition(b"\r\n\r\n")
         found = re.search(rb"(?mi)^X-Page-Id:\s*(-?\d+)\s*$", head)
         yield out | {"id": f"<urn:uuid:{uuid.uuid5(_SPACE, f'{name}#{at - base}')}>", "archive": name, "head": head, "payload": payload, "page_id": int(found[1]) if found else None}
-        at = line_end + 1 + len(body)
-
-
-def _gunzip(data: bytes) -> bytes:
-    out = []
-    while data:
-        d = zlib.decompressobj(31)
-        out.append(d.decompress(data))
-        data = d.unused_data
-    return b"".join(out)
 
 
 def _warc_date(date: str) -> str:
@@ -152,78 +211,92 @@ def _warc(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return ("WARC/1.1\r\n" + "\r\n".join(lines) + "\r\n\r\n").encode() + block
 
 
-def _warc_record(r: dict, first: dict | None) -> bytes:
-    """The WARC record of an ARC record; ``first`` is the response that a revisit refers to."""
-    head = r["head"] + b"\r\n\r\n"
-    fields = [("WARC-Type", "revisit" if first else "response"), ("WARC-Record-ID", r["id"]), ("WARC-Date", _warc_date(r["Archive-date"])), ("WARC-Target-URI", r["URL"]), ("WARC-IP-Address", r["IP-address"])]
-    if first:
-        fields += [("WARC-Profile", REVISIT), ("WARC-Refers-To", first["id"])] + ([("X-Refers-To-Page", first["page_id"])] if first["page_id"] is not None else [])
+def _warc_record(r: dict) -> bytes:
+    """The WARC record of a row of ``_RECORD``; first_id, if any, is the response that a revisit refers to."""
+    again, head = r["first_id"] is not None, r["head"] + b"\r\n\r\n"
+    fields = [("WARC-Type", "revisit" if again else "response"), ("WARC-Record-ID", r["id"]), ("WARC-Date", _warc_date(r["date"])), ("WARC-Target-URI", r["url"]), ("WARC-IP-Address", r["ip"]), ("X-Converted-From", r["archive"])]
+    if again:
+        fields += [("WARC-Profile", REVISIT), ("WARC-Refers-To", r["first_id"])] + ([("X-Refers-To-Page", r["first_page"])] if r["first_page"] is not None else [])
     fields += [("WARC-Payload-Digest", f"sha1:{sha1_base32(r['payload'])}"), ("Content-Type", "application/http; msgtype=response")]
-    return _warc(fields, head if first else head + r["payload"])
+    return _warc(fields, head if again else head + r["payload"])
 
 
-def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int = 0) -> None:
-    """Convert all ARC files below ``arc_path`` to WARC files below ``warc_path``.
+_RECORD = {"id": "id", "archive": "archive", "url": "URL", "ip": "IP-address", "date": "Archive-date", "head": "head", "payload": "payload"}
 
-    The archives are read twice: first for ids and digests, by which responses and revisits are told apart, then for
-    the records. Between, only ids and digests are shuffled, and the compressed archives once, next to what was
-    decided for them.
-    """
-    ship(spark)
-    files = spark.read.format("binaryFile").load(arc_path).select("path", "content")
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parsed(files: DataFrame, names: dict[str, str], schema: str, kinds: tuple) -> DataFrame:
+    """Fields of all records of archives, in batches of bounded size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in zip(names.values(), kinds, strict=True)], list(names))
         for batch in batches:
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = [(path, r["id"], r["page_id"], hashlib.sha256(r["payload"]).digest(), len(r["payload"])) for r in arc_records(_gunzip(data.as_py()))]
-                columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-                kinds = (pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["path", "id", "page_id", "sha", "size"])
+            for data in batch.column(0):
+                rows, size = [], 0
+                for r in arc_records(data.as_py()):
+                    r |= {"sha": hashlib.sha256(r["payload"]).digest(), "size": len(r["payload"])}
+                    rows.append({c: r[c] for c in names.values()})
+                    size += 200 + (len(r["payload"]) if "payload" in names else 0)
+                    if size >= SEGMENT:
+                        yield own(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield own(rows)
+
+    return files.mapInArrow(run, schema)
+
 
-    found = scratch.table(files.mapInArrow(index, "path string, id string, page_id long, sha binary, size long"))
+def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int = 0) -> None:
+    """Convert all ARC files below ``arc_path`` to WARC files below ``warc_path``."""
+    ship(spark)
+    files = spark.read.format("binaryFile").load(arc_path).select("content")
+    found = _parsed(files, {c: c for c in ("id", "page_id", "sha", "size")}, "id string, page_id long, sha binary, size long", (pa.string(), pa.int64(), pa.binary(), pa.int64()))
+    found = scratch.table(found)
     order = F.struct(F.col("page_id").isNull().alias("n"), "page_id", "id")
-    firsts = found.filter(F.col("size") >= min_bytes).groupBy("sha", "size").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    firsts = scratch.table(found.filter(F.col("size") >= min_bytes).groupBy("sha", "size").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1"))
     again = found.join(firsts, ["sha", "size"]).filter(F.col("id") != F.col("first.id"))
-    decided = again.groupBy("path").agg(F.collect_list(F.struct("id", F.col("first.id").alias("first_id"), F.col("first.page_id").alias("first_page"))).alias("revisits"))
+    again = scratch.table(again.select("id", F.col("first.id").alias("first_id"), F.col("first.page_id").alias("first_page")))
+    scratch.drop(found, firsts)
+    records = _parsed(files, _RECORD, "id string, archive string, url string, ip string, date string, head binary, payload binary", (*[pa.string()] * 5, pa.binary(), pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        own = lambda: pa.RecordBatch.from_arrays([pa.array([b"\r\n\r\n".join(parts)], pa.binary())], ["value"])
         for batch in batches:
-            for data, known in zip(batch.column(0), batch.column(1), strict=True):
-                revisits = {x["id"]: {"id": x["first_id"], "page_id": x["first_page"]} for x in known.as_py() or ()}
-                parts, size, archive = [], 0, None
-                for r in arc_records(_gunzip(data.as_py())):
-                    if not parts:
-                        archive = r["archive"]
-                        about = f"software: vigil\r\nformat: WARC File Format 1.1\r\nconverted-from: {archive}\r\n".encode()
-                        parts = [_warc([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(_SPACE, 'info ' + r['id'])}>"), ("WARC-Date", _warc_date(r["Archive-date"])), ("Content-Type", "application/warc-fields")], about)]
-                    parts.append(_warc_record(r, revisits.get(r["id"])))
-                    size += len(parts[-1])
-                    if size >= SEGMENT:
-                        yield pa.RecordBatch.from_arrays([pa.array([b"\r\n\r\n".join(parts)], pa.binary())], ["value"])
-                        parts, size = [], 0
-                if parts:
-                    yield pa.RecordBatch.from_arrays([pa.array([b"\r\n\r\n".join(parts)], pa.binary())], ["value"])
-
-    _write(files.join(decided, "path", "left").select("content", "revisits").mapInArrow(run, "value binary"), warc_path, "\r\n\r\n")
+            for i in range(batch.num_rows):
+                r = {c: batch.column(k)[i].as_py() for k, c in enumerate(batch.schema.names)}
+                if not parts:
+                    about = b"software: vigil\r\nformat: WARC File Format 1.1\r\n"
+                    parts = [_warc([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(_SPACE, 'info ' + r['id'])}>"), ("WARC-Date", _warc_date(r["date"])), ("Content-Type", "application/warc-fields")], about)]
+                parts.append(_warc_record(r))
+                size += len(parts[-1])
+                if size >= SEGMENT:
+                    yield own()
+                    parts, size = [], 0
+        if parts:
+            yield own()
+
+    _write(records.join(again, "id", "left").mapInArrow(run, "value binary"), warc_path, "\r\n\r\n")
+    scratch.drop(again)
 
 
 def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and block of each record of a WARC file, by the declared lengths; digests are verified."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")
+    """Header fields and block of each record of a WARC file, compressed or not, by the declared lengths; digests are
+    verified."""
+    source = _Source(data)
+    while True:
+        at, head = source.place, source.until(b"\r\n\r\n")
+        if head is None:
+            return
+        lines = head.decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no WARC record at {at}: {lines[0][:80]!r}")
         fields = dict(x.split(": ", 1) for x in lines[1:])
-        block = data[end + 4 : end + 4 + int(fields["Content-Length"])]
+        block = source.take(int(fields["Content-Length"]))
         if fields["WARC-Block-Digest"] != f"sha1:{sha1_base32(block)}":
             raise ValueError(f"the block of {fields['WARC-Record-ID']} doesn't have its digest")
-        yield fields, block
-        at = end + 4 + len(block)
-        if data[at : at + 4] != b"\r\n\r\n":
+        if source.take(4) != b"\r\n\r\n":
             raise ValueError(f"{fields['WARC-Record-ID']} is longer than its declared length")
-        at += 4
+        yield fields, block
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -245,7 +318,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
         for batch in batches:
             for data in batch.column(0):
-                rows = [row(*r) for r in warc_records(_gunzip(data.as_py())) if r[0]["WARC-Type"] in ("response", "revisit")]
+                rows = [row(*r) for r in warc_records(data.as_py()) if r[0]["WARC-Type"] in ("response", "revisit")]
                 columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names)
 

@@ -1,11 +1,12 @@
 """License scans by MinHash bands over overlapping windows, in DataFrame functions alone.
 
 Texts and templates are lower-cased and cut into runs of letters and digits; a shingle is five of these. A template of m
-shingles belongs to the least window size that covers it wherever it starts: windows of c shingles start at every c/8-th
-place (every place for small c), so one of them holds all of it. Windows get a MinHash signature of ``BANDS`` bands of
-``ROWS`` values, and a band equal to one of a template of the window's size retrieves that template. For a whole
-template the Jaccard similarity is at least 1/2, where 20 bands of 2 miss with a probability of 0.75^20 < 0.4 %. What is
-retrieved is verified by the exact share of the template's shingles in the window, which must be ``CONTAINMENT``.
+shingles belongs to a window size that covers it wherever it starts: windows of c shingles start at every c/8-th place
+(every place for small c), so one of them holds all of it; sizes grow by a seventh or so, without end, so that c is at
+most 1.32 m. Windows get a MinHash signature of ``BANDS`` bands of ``ROWS`` values, and a band equal to one of a template
+of the window's size retrieves that template. A window around four fifths of a template has a Jaccard similarity to it of
+0.52 at least, where 24 bands of 2 miss with a probability of 0.73^24 < 0.1 %. What is retrieved is verified by the exact
+share of the template's shingles in the window, which must be ``CONTAINMENT``.
 
 Two exact filters keep this off the great mass of text: a document must hold a key word (the driver picks words such
 that each template shingle has one), and a window must hold a template shingle; without one the containment is 0.
@@ -23,29 +24,59 @@ from __future__ import annotations
 import re
 from collections import Counter
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHINGLE, CONTAINMENT = 5, 0.8
-BANDS, ROWS = 20, 2
-MAX_SHINGLES = 20_000
-SIZES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512)
-
-#: Usual notices of public licences.
+BANDS, ROWS = 24, 2
+MAX_SHINGLES, MAX_KEYS = 20_000, 100
+
+_AS_IS = (
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
+    "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_DISCLAIMED = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED "
+    "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, "
+    "INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR "
+    "PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+    "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_TWO = (
+    f"{_BSD} 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form "
+    "must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+_BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+_NO_WARRANTY = (
+    "is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+)
+#: Usual notices, headers and whole texts of public licences. Longer ones can be passed to ``scan``.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0 header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
-    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "Apache-2.0 header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    "AGPL-3.0 header": f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program {_NO_WARRANTY} See the GNU Affero General Public License for more details.",
+    "BSD": _BSD,
+    "BSD-2-Clause": f"{_BSD_TWO} {_DISCLAIMED}",
+    "BSD-3-Clause": f"{_BSD_TWO} {_BSD_NAMES} {_DISCLAIMED}",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-4.0 notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "GPL-2.0 header": f"This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program {_NO_WARRANTY} See the GNU General Public License for more details.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0 header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "LGPL-2.1 header": f"This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library {_NO_WARRANTY} See the GNU Lesser General Public License for more details.",
     "MIT": "Released under the MIT License.",
-    "MIT header": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+    "MIT notice": "Licensed under the MIT License.",
+    "MIT header": _MIT,
+    "MIT text": f'{_MIT} (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {_AS_IS}',
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
@@ -64,10 +95,10 @@ def stride(size: int) -> int:
 
 def window_size(n: int) -> int:
     """The least size of which one window holds any n neighbouring shingles."""
-    for size in SIZES:
-        if size - stride(size) + 1 >= n:
-            return size
-    raise ValueError(f"a template has {n} shingles; the largest window has {SIZES[-1]}")
+    size = 1
+    while size - stride(size) + 1 < n:
+        size = max(size + 1, size * 23 // 20)
+    return size
 
 
 def key_words(shingles: list[str]) -> list[list[str]]:
@@ -122,9 +153,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     every = sorted({s for t in templates.values() for s in template_shingles(t)})
     sizes = sorted({window_size(len(template_shingles(t))) for t in templates.values()})
     lower = F.lower(F.col(f"`{text_col}`"))
-    holds = F.lit(False)
-    for words in key_words(every):
-        holds = holds | reduce(and_, [F.contains(lower, F.lit(w)) for w in words])
+    keys = key_words(every)
+    # looking for very many key words costs more than cutting all texts into shingles
+    holds = reduce(or_, [reduce(and_, [F.contains(lower, F.lit(w)) for w in words]) for words in keys]) if len(keys) <= MAX_KEYS else F.lit(True)
     df = docs.filter(holds).select(F.col(f"`{id_col}`").alias(id_col), F.split(F.btrim(F.regexp_replace(lower, r"[^\p{L}\p{N}]+", " ")), " ", -1).alias("w"))
     w, g = F.col("w"), F.col("g")
     # neighbours by zipping the words with themselves: no lambda refers to another column, so that a filter that is

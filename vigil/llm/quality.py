@@ -1,21 +1,24 @@
 """Quality rules by distribution divergence, in DataFrame functions alone.
 
 Each document gets counts (words, symbols, repeated lines, words in repeated three-word windows) and two histograms: of
-character classes and of the common words of its language. Both are compared with the language's reference, which is
-the sum of the histograms of all its documents, by the Jensen-Shannon distance (square root of the divergence to base
-2, so 0 to 1). Short documents have noisy histograms: a distance counts only from a minimum length on.
-
-Defined results: a null text counts as empty and fails the base rule; a null or unlisted language has the reference of
-all such documents together and no common words, so only its character classes are compared; repeated rows are judged
-alike; extra columns stay in ``keep_clean`` and are left out of ``judge``; an empty table gives an empty table.
-
-Scale: texts are read once, in a narrow pass that writes the counts; the references are sums over that table (one row
-per listed language and one for the rest meet on the driver). No text is shuffled.
+character classes and of the common words of its language. Both are compared with the language's reference by the
+Jensen-Shannon distance (square root of the divergence to base 2, so 0 to 1). References are fixed and come from no
+corpus, so what is judged can't move them: a corpus of junk is rejected, and a document has the same verdict in any
+company. Others can be passed, as ``fitted`` makes them from documents that are known to be good. Short documents have
+noisy histograms: a distance counts only from a minimum length on.
+
+Defined results: a null text counts as empty and fails the base rule; a null or unlisted language has a reference for
+character classes only, which leaves characters of no class out (they may be any script's letters) and is not compared
+with a text that these make up more than half of; repeated rows are judged alike; extra columns stay in ``keep_clean``
+and are left out of ``judge``; an empty table gives an empty table.
+
+Scale: one narrow pass that writes the counts, and one over these; no text is shuffled and nothing is gathered.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,15 +42,33 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A document is rejected beyond these distances, from these lengths on.
+#: A document is rejected beyond these distances, from these lengths on. The limit for words is a fraction of the distance
+#: that a text without any common word has to the reference.
 MAX_CLASS_DISTANCE, MIN_CLASS_CHARS = 0.30, 200
-MAX_WORD_DISTANCE, MIN_WORD_COUNT = 0.60, 100
-#: Where common words are at least this share of a reference, the word limit is this fraction of the distance that a text
-#: without any common word has to it; a reference with fewer says too little and leaves the limit above.
-MIN_COMMON_SHARE, WORD_FRACTION = 0.10, 0.9
+WORD_FRACTION, MIN_WORD_COUNT = 0.9, 100
+#: A reference is fitted on this many words at least.
+MIN_FITTED_WORDS = 10_000
+
+#: Fixed values, rounded estimates of ordinary prose: how many of a thousand words are each of ``COMMON_WORDS``.
+WORD_SHARES = {
+    "de": (33, 33, 28, 18, 13, 11, 11, 10, 9, 7, 8, 7, 7, 8, 8, 8),
+    "en": (60, 31, 28, 26, 22, 20, 11, 11, 9, 9, 8, 8, 7, 6, 7, 5),
+    "es": (62, 38, 30, 31, 27, 26, 20, 17, 12, 13, 11, 11, 11, 10, 9, 8),
+    "fr": (45, 28, 24, 22, 20, 16, 15, 13, 11, 11, 10, 9, 9, 8, 8, 7),
+}
+#: Fixed values likewise: how many of a thousand characters are of each of ``CLASSES``, of no class, and a-z.
+CLASS_SHARES = {
+    "de": (150, 1, 10, 33, 60, 20, 726),
+    "en": (175, 1, 10, 33, 30, 3, 748),
+    "es": (170, 1, 10, 33, 25, 25, 736),
+    "fr": (168, 1, 10, 42, 28, 35, 716),
+    "": (165, 1, 10, 35, 35, 20, 734),
+}
+#: (class shares, common-word shares) by language, "" being any other.
+Reference = tuple[list[float], list[float]]
 
 N_HITS = max(map(len, COMMON_WORDS.values()))
-N_CLASSES = len(CLASSES) + 2
+N_CLASSES, WIDE = len(CLASSES) + 2, len(CLASSES)
 
 
 def words_of(text: Column) -> Column:
@@ -80,6 +101,7 @@ def measured(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
 
     The columns are made in steps, since each step reads the one before many times.
     """
+    text_col, lang_col = f"`{text_col}`", f"`{lang_col}`"
     text, w, g, s = F.coalesce(F.col(text_col), F.lit("")), F.col("__vg_w"), F.col("__vg_g"), F.col("__vg_s")
     lang = F.when(F.col(lang_col).isin(*COMMON_WORDS), F.col(lang_col)).otherwise("")
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "")
@@ -117,18 +139,26 @@ def measured(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     return df.withColumn("__vg_q", q).drop("__vg_w", "__vg_l", "__vg_t", "__vg_c", "__vg_g", "__vg_h", "__vg_s", "__vg_p")
 
 
-def references(rows: DataFrame) -> dict[str, tuple[list[float], list[float], float]]:
-    """Of ``measured`` rows, for each listed language and "" for the rest: summed class counts, summed counts of its
-    common words, and all its words. Sums over every document."""
-    q = F.col("__vg_q")
-    sums = [F.sum(F.get(q[c], F.lit(i))).alias(f"{c}{i}") for c, n in (("classes", N_CLASSES), ("hits", N_HITS)) for i in range(n)]
-    found = rows.groupBy(q["lang"].alias("lang")).agg(*sums, F.sum(q["n_words"]).alias("n")).collect()
-    return {r["lang"]: ([r[f"classes{i}"] or 0.0 for i in range(N_CLASSES)], [r[f"hits{i}"] or 0.0 for i in range(len(COMMON_WORDS.get(r["lang"], ())))], float(r["n"] or 0)) for r in found}
+def _shares(counts: Sequence[float], total: float) -> list[float]:
+    return [c / total if total else 0.0 for c in counts]
 
 
-def _shares(counts: list[float]) -> list[float]:
-    total = sum(counts)
-    return [c / total if total else 0.0 for c in counts]
+def references() -> dict[str, Reference]:
+    """The fixed references."""
+    return {name: (_shares(own, sum(own)), _shares(WORD_SHARES.get(name, ()), 1000)) for name, own in CLASS_SHARES.items()}
+
+
+def fitted(good: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, Reference]:
+    """References from documents that are known to be good, other than those to be judged: sums over all of them (one row
+    a language meets on the driver). A language with fewer than ``MIN_FITTED_WORDS`` words keeps the fixed one."""
+    q = F.col("__vg_q")
+    sums = [F.sum(F.get(q[c], F.lit(i))).alias(f"{c}{i}") for c, n in (("classes", N_CLASSES), ("hits", N_HITS)) for i in range(n)]
+    out = references()
+    for r in measured(good, text_col, lang_col).groupBy(q["lang"].alias("lang")).agg(*sums, F.sum(q["n_words"]).alias("n")).collect():
+        if r["n"] >= MIN_FITTED_WORDS:
+            classes = [r[f"classes{i}"] for i in range(N_CLASSES)]
+            out[r["lang"]] = (_shares(classes, sum(classes)), _shares([r[f"hits{i}"] for i in range(len(COMMON_WORDS.get(r["lang"], ())))], r["n"]))
+    return out
 
 
 def js_distance(counts: list[Column], total: Column, reference: list[float]) -> Column:
@@ -143,45 +173,47 @@ def js_distance(counts: list[Column], total: Column, reference: list[float]) ->
     return F.when(total > 0, F.sqrt(F.greatest(F.lit(0.0), sum(parts[1:], parts[0]) / 2))).otherwise(F.lit(0.0))
 
 
-def word_limit(hits: list[float], words: float) -> float:
-    """The word distance beyond which a document is rejected, from a reference's common words and all its words."""
-    share = sum(hits) / words if words else 0.0
-    if share < MIN_COMMON_SHARE:
-        return MAX_WORD_DISTANCE
+def word_limit(hits: Sequence[float]) -> float:
+    """The word distance beyond which a document is rejected, from the shares of a reference's common words."""
+    share = sum(hits)
     # the common words have no part in such a text: each gives its share to the divergence, all other words the rest
     rest = max(0.0, 1 - share)
     m = (1 + rest) / 2
     divergence = (share - math.log2(m) + (rest * math.log2(rest / m) if rest else 0.0)) / 2
-    return min(MAX_WORD_DISTANCE, WORD_FRACTION * math.sqrt(max(0.0, divergence)))
+    return WORD_FRACTION * math.sqrt(max(0.0, divergence))
 
 
-def verdict(refs: dict) -> tuple[Column, Column, Column, Column]:
+def verdict(refs: dict[str, Reference]) -> tuple[Column, Column, Column, Column]:
     """base_failed, class distance, word distance (null where the guard holds) and kept, for ``measured`` rows."""
     f = F.col("__vg_q")
-    n, total = f["n_words"], F.aggregate(f["classes"], F.lit(0.0), lambda a, x: a + x)
-    class_d, word_d, limit = F.lit(0.0), F.lit(0.0), F.lit(MAX_WORD_DISTANCE)
-    for name, (classes, hits, words) in sorted(refs.items()):
-        one = js_distance([F.get(f["classes"], F.lit(i)) for i in range(N_CLASSES)], total, _shares(classes))
-        class_d = F.when(f["lang"] == name, one).otherwise(class_d)
+    n, all_chars = f["n_words"], F.aggregate(f["classes"], F.lit(0.0), lambda a, x: a + x)
+    class_d, word_d, limit = F.lit(0.0), F.lit(0.0), F.lit(1.0)
+    for name, (classes, hits) in sorted(refs.items()):
+        own, total, like = [F.get(f["classes"], F.lit(i)) for i in range(N_CLASSES)], all_chars, classes
+        if not name:  # characters of no class are left out on both sides
+            own, like = [*own[:WIDE], *own[WIDE + 1 :]], [c / (1 - classes[WIDE]) for i, c in enumerate(classes) if i != WIDE]
+            total = all_chars - F.get(f["classes"], F.lit(WIDE))
+        class_d = F.when(f["lang"] == name, F.when(2 * total >= all_chars, js_distance(own, total, like))).otherwise(class_d)
         if hits:
             own = [F.get(f["hits"], F.lit(i)) for i in range(len(hits))]
             rest = F.greatest(F.lit(0.0), n - sum(own[1:], own[0]))
-            one = js_distance([*own, rest], n.cast("double"), _shares([*hits, max(0.0, words - sum(hits))]))
+            one = js_distance([*own, rest], n.cast("double"), [*hits, max(0.0, 1 - sum(hits))])
             word_d = F.when(f["lang"] == name, one).otherwise(word_d)
-            limit = F.when(f["lang"] == name, F.lit(word_limit(hits, words))).otherwise(limit)
-    class_d = F.when(total >= MIN_CLASS_CHARS, class_d)
+            limit = F.when(f["lang"] == name, F.lit(word_limit(hits))).otherwise(limit)
+    class_d = F.when(all_chars >= MIN_CLASS_CHARS, class_d)
     word_d = F.when(n >= MIN_WORD_COUNT, word_d)
     base = (n < MIN_WORDS) | (100 * f["n_repeat_words"] > MAX_REPEAT_PERCENT * n)
     kept = ~base & (F.coalesce(class_d, F.lit(0.0)) <= MAX_CLASS_DISTANCE) & (F.coalesce(word_d, F.lit(0.0)) <= limit)
     return base, class_d, word_d, kept
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", refs: dict[str, Reference] | None = None) -> DataFrame:
     """One row per document: its id, its counts, the verdict and both distances."""
-    rows = scratch.table(measured(docs.select(id_col, text_col, lang_col), text_col, lang_col).drop(text_col, lang_col))
-    base, class_d, word_d, kept = verdict(references(rows))
-    return rows.select(
-        F.col(id_col),
+    own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
+    base, class_d, word_d, kept = verdict(refs or references())
+    # written, since a filter on the result would else move below and repeat the expressions of every step
+    return scratch.table(measured(own).select("id", "__vg_q")).select(
+        F.col("id").alias(id_col),
         *[F.col("__vg_q")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         base.alias("base_failed"),
         kept.alias("kept"),
@@ -190,7 +222,6 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     )
 
 
-def keep_clean(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def keep_clean(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", refs: dict[str, Reference] | None = None) -> DataFrame:
     """The documents that pass, with all their columns."""
-    rows = scratch.table(measured(docs, text_col, lang_col))
-    return rows.filter(verdict(references(rows))[-1]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return scratch.table(measured(docs, text_col, lang_col)).filter(verdict(refs or references())[-1]).select(*[F.col(f"`{c}`") for c in docs.columns])
