@@ -228,13 +228,14 @@ def _parsed(files: DataFrame, names: dict[str, str], schema: str, kinds: tuple)
     """Fields of all records of archives, in batches of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in zip(names.values(), kinds, strict=True)], list(names))
+        own = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(map(list, zip(*rows, strict=True)), kinds, strict=True)], list(names))
         for batch in batches:
             for data in batch.column(0):
                 rows, size = [], 0
                 for r in arc_records(data.as_py()):
-                    r |= {"sha": hashlib.sha256(r["payload"]).digest(), "size": len(r["payload"])}
-                    rows.append({c: r[c] for c in names.values()})
+                    if "sha" in names:
+                        r |= {"sha": hashlib.sha256(r["payload"]).digest(), "size": len(r["payload"])}
+                    rows.append([r[c] for c in names.values()])
                     size += 200 + (len(r["payload"]) if "payload" in names else 0)
                     if size >= SEGMENT:
                         yield own(rows)
@@ -262,8 +263,8 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int =
         parts, size = [], 0
         own = lambda: pa.RecordBatch.from_arrays([pa.array([b"\r\n\r\n".join(parts)], pa.binary())], ["value"])
         for batch in batches:
-            for i in range(batch.num_rows):
-                r = {c: batch.column(k)[i].as_py() for k, c in enumerate(batch.schema.names)}
+            for values in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                r = dict(zip(batch.schema.names, values, strict=True))
                 if not parts:
                     about = b"software: vigil\r\nformat: WARC File Format 1.1\r\n"
                     parts = [_warc([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(_SPACE, 'info ' + r['id'])}>"), ("WARC-Date", _warc_date(r["date"])), ("Content-Type", "application/warc-fields")], about)]
