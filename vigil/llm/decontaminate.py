@@ -165,6 +165,8 @@ class Index:
             sums = np.cumsum(sums)
             for n, table in tables.items():
                 width = min(n, len(hashes))  # a shorter document is one window
+                if 9 * len(hits) < 4 * (width + n):
+                    continue
                 # shared / (width + n - shared) >= 4 / 5
                 starts = np.flatnonzero(9 * (sums[width:] - sums[: len(sums) - width]) >= 4 * (width + n))
                 if len(starts):
