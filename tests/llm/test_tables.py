@@ -5,11 +5,13 @@ import collections
 import gzip
 import hashlib
 import itertools
+import math
+import re
 
 import pytest
 
 import corpus_pipeline
-from vigil.llm import arc_convert, mixing, scratch, sharding
+from vigil.llm import arc_convert, mixing, quality, scratch, sharding
 
 
 def brute_targets(sizes, weights):
@@ -152,21 +154,126 @@ def test_archives_are_read_piece_by_piece(monkeypatch):
         assert len({r["id"] for r in found}) == len(pages)
 
 
-def test_pipeline(spark, sf_dir):
+def _brute_quality(rows):
+    from tests.llm.test_texts import WORD, _distances
+
+    out = []
+    for r in rows:
+        w = WORD.findall(r["text"] or "")
+        grams = collections.Counter(zip(w, w[1:], w[2:]))
+        cover = {j for i in range(len(w) - 2) if grams[w[i], w[i + 1], w[i + 2]] > 1 for j in (i, i + 1, i + 2)}
+        if len(w) >= 50 and 100 * len(cover) <= 50 * len(w) and _distances(r["text"], r["lang"], quality.references())[2]:
+            out.append(r)
+    return out
+
+
+def _brute_near(rows):
+    def shingles(t):
+        w = (t or "").lower().split()
+        return frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets, root = [shingles(r["text"]) for r in rows], list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a == b or 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b):
+                root[find(i)] = find(j)
+    first = {}
+    for i, r in enumerate(rows):
+        key = (r["doc_id"] is None, r["doc_id"] or 0)
+        if find(i) not in first or key < first[find(i)][0]:
+            first[find(i)] = (key, r)
+    return [r for _, r in first.values()]
+
+
+def _brute_clean(rows, items):
+    words = lambda t: re.sub(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]", " ", (t or "").lower()).split()
+    bagged = lambda x, k: collections.Counter(tuple(x[j : j + k]) for j in range(len(x) - k + 1))
+    known = [(len(v), min(5, len(v)), bagged(v, min(5, len(v)))) for v in map(words, items) if v]
+    out = []
+    for r in rows:
+        w, found = words(r["text"]), False
+        whole = bagged(w, 5)
+        for n, k, b in known:
+            if k == 5 and 9 * sum((whole & b).values()) < 4 * (min(n, len(w)) - 4 + n - 4):
+                continue  # no window can share enough
+            for s in range(max(1, len(w) - n + 1)):
+                c = bagged(w[s : s + n], k)
+                if c and 5 * sum((b & c).values()) >= 4 * sum((b | c).values()):
+                    found = True
+                    break
+        if not found:
+            out.append(r)
+    return out
+
+
+def _hash(rows, spark, *of):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(i, *(r[c] for c in of)) for i, r in enumerate(rows)], "i long, " + ", ".join(f"{c} {'long' if c == 'doc_id' else 'string'}" for c in of))
+    lead = [F.lit(mixing.SEED)] if of == ("doc_id",) else []
+    return {r["i"]: r["h"] for r in df.select("i", F.xxhash64(*lead, *[F.coalesce(c, F.lit("")) if c == "text" else F.col(c) for c in of]).alias("h")).collect()}
+
+
+def _brute_mix(rows, spark):
+    size = [len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in rows]
+    names = sorted({r["source"] for r in rows}, key=lambda s: (s is None, s or ""))
+    target = dict(zip(names, brute_targets([sum(n for n, r in zip(size, rows) if r["source"] == s) for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))])))
+    order, th, out = _hash(rows, spark, "doc_id"), _hash(rows, spark, "text"), collections.Counter()
+    unsigned = lambda x: x % 2**64 >> 54
+    for s in names:
+        mine = sorted((i for i, r in enumerate(rows) if r["source"] == s), key=lambda i: (unsigned(order[i]), order[i], rows[i]["doc_id"] is None, rows[i]["doc_id"] or 0, size[i], th[i]))
+        whole, at, quota = sum(size[i] for i in mine), 0, round(target[s])
+        for i in mine:
+            taken = sum(max(0, min(size[i], min(whole, quota - k * whole) - at)) for k in range(2))
+            at += size[i]
+            if size[i]:
+                out[i] += math.floor(taken / size[i] + 0.5)
+    return [rows[i] for i in sorted(out) for _ in range(out[i])]
+
+
+def test_pipeline_against_brute_force(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES:
-        before, docs = docs, scratch.table(stage(spark, docs, sf_dir))
-        ids = lambda df: {r["doc_id"] for r in df.select("doc_id").collect()}
-        assert ids(docs) <= ids(before) and docs.count() > 0
-        if name == "near_dedup":
-            from vigil.llm import simhash_dedup
-
-            assert docs.count() == simhash_dedup.near_duplicates(before).select("component_id").distinct().count()
-        if name == "decontamination":
-            from vigil.llm import decontaminate
-
-            assert decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).count() == 0
-        if name != "shards":
-            assert docs.columns == spark.read.parquet(f"{sf_dir}/documents.parquet").columns
-    want = sorted((r["doc_id"], r["shard"]) for r in docs.collect())
-    assert sorted((r["doc_id"], r["shard"]) for r in corpus_pipeline.run(spark, sf_dir).collect()) == want
+    rows = [r.asDict() for r in docs.collect()]
+    more = [dict(rows[0], doc_id=None), dict(rows[1], doc_id=rows[2]["doc_id"]), dict(rows[3]), dict(rows[4], source=None, doc_id=90_001), dict(rows[5], text=None), dict(rows[6], text="", lang=None)]
+    rows += more
+    spark.createDataFrame(rows, docs.schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    items = [r["text"] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    want = _brute_quality(rows)
+    assert 0 < len(want) < len(rows)
+    near = _brute_near(want)
+    clean = _brute_clean(near, items)
+    assert len(clean) < len(near) < len(want)
+    table = sharding.lookup_table()
+    placed = [(r["doc_id"], r["text"], r["source"], table[int(hashlib.md5(("" if r["doc_id"] is None else str(r["doc_id"])).encode()).hexdigest()[:15], 16) % sharding.SLOTS]) for r in _brute_mix(clean, spark)]
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns == [*docs.columns, "shard"]
+    assert collections.Counter((r["doc_id"], r["text"], r["source"], r["shard"]) for r in got.collect()) == collections.Counter(placed)
+
+
+def test_pipeline_of_nothing(spark, sf_dir, tmp_path):
+    spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_shared_folder_is_wanted_off_a_local_master(monkeypatch):
+    class Conf:
+        get = staticmethod(lambda k, d=None: d)
+
+    class Session:
+        conf = Conf
+
+        class sparkContext:  # noqa: N801
+            master = "yarn"
+            getConf = staticmethod(lambda: Conf)
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch.folder(Session)
