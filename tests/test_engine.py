@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 import threading
 import urllib.error
 import urllib.request
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vigil.__main__ import main
+from vigil.functions.scalars import two_decimals
 from vigil.operators import checks, detectors, profile
 from vigil.operators.cep import FOREVER, detect
 from vigil.operators.rules import rule_hits
@@ -18,6 +20,7 @@ from vigil.schema import ALERT, EVENT, PROFILE_V1, RULE
 from vigil.sources import records
 from vigil.sources.tape import tape
 from vigil.streaming.cep import detect_stream
+from vigil.streaming.rules import latest_profiles, profile_table, rule_hits_by_batch
 from vigil.streaming.sinks import captured, case_store, emit_bundle, read_cases, replay
 
 T0 = 1_753_920_000_000
@@ -88,11 +91,62 @@ def test_parser_drops_what_is_not_whole(spark):
     bad += [good.replace("auth", "other"), good.replace('"ts":2', '"ts":5.0'), good.replace('"ts":2', '"ts":"x"'), good[:40], ""]
     rows = records.parse_events(spark.createDataFrame([(x,) for x in [good, *bad]], "value string"))
     assert [tuple(r) for r in rows.collect()] == [(1, 2, "auth", 3, 0, 1.5, True, False, 0.5, 0.1, "m", "GB")]
+    odd = [good.replace('"ts":2', '"ts":"2"'), good.replace('"ts":2', '"ts":2,"ts":9'), good.replace('"amount":1.5', '"amount": 1.5'), good.replace('"ts":2', '"ts": 2'), good.replace("1.5", "1.5d"), good.replace('"id":1', '"id":99999999999999999999'), good.replace('"approved":1', '"approved":true'), None]
+    assert [r["ts"] for r in records.parse_events(spark.createDataFrame([(x,) for x in odd], "value string")).collect()] == [2, 2, 2]
+    plan = rows.filter("amount > 1")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == len(EVENT)  # each key is looked for once
     assert rows.schema == EVENT or [f.dataType for f in rows.schema] == [f.dataType for f in EVENT]
     lines = ['{"kind":"merchant_cap","merchant":"m","activate_at":1,"cap":2.0}', '{"kind":"x","merchant":"m","activate_at":1,"cap":2.0}', '{"kind":"merchant_cap"}']
     assert records.parse_rules(spark.createDataFrame([(x,) for x in lines], "value string")).count() == 1
 
 
+def test_rules_on_a_stream(spark, tmp_path):
+    """Auths come before the rules and their seal, and a rule comes after it."""
+    auth = lambda i, ts, merchant, amount: (i, T0 + ts, "auth", 9301, 0, amount, True, False, 0.0, 0.0, merchant, "GB")
+    batches = [[auth(1, 500, "m", 1.005), auth(2, 1000, "m", 0.125)], [auth(3, 2000, "late", 9.0)], [auth(4, 3000, "late", 8.0), auth(5, 3500, "m", 2.675)]]
+    rules = [("merchant_watchlist", "m", T0 + 1000, 0.0)]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, EVENT).select(records.event_json().alias("value")).coalesce(1).write.text(f"{tmp_path}/in{i}")
+    known = list(rules)
+    store = rule_hits_by_batch(f"{tmp_path}/wait", lambda: spark.createDataFrame(known, RULE), case_store(f"{tmp_path}/s", "hits"))
+    stream = lambda: records.stream_events(spark, f"{tmp_path}/in", maxFilesPerTrigger=1).drop("event_time")
+    os.mkdir(f"{tmp_path}/in")
+    for i in range(3):
+        (part,) = (tmp_path / f"in{i}").glob("part-*")
+        os.rename(part, f"{tmp_path}/in/{i}.json")
+        if i == 1:
+            known.append(("end_of_rules", "", 0, 0.0))
+        if i == 2:
+            known.append(("merchant_watchlist", "late", T0, 0.0))
+        stream().writeStream.foreachBatch(store).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+        if i == 0:
+            assert not os.path.exists(f"{tmp_path}/s")
+    hits = sorted(tuple(r) for r in read_cases(spark, f"{tmp_path}/s").select("ts", "detail").collect())
+    assert hits == [(T0 + 1000, "auth at watchlisted m for 0.12"), (T0 + 3000, "auth at watchlisted late for 8.00"), (T0 + 3500, "auth at watchlisted m for 2.67")]
+    store(spark.createDataFrame(batches[2], EVENT), 2)  # a batch that runs again
+    assert read_cases(spark, f"{tmp_path}/s").count() == 3
+
+
+def test_profiles_on_a_stream(spark, tmp_path):
+    rows = [(i, T0 + (37 * i) % 11 * 1000, "auth", i % 3, 0, i / 4, i % 4 > 0, False, 0.0, 0.0, "m", f"C{i}") for i in range(40)]
+    events = spark.createDataFrame(rows, EVENT)
+    events.select(records.event_json().alias("value")).repartition(3).write.text(f"{tmp_path}/in")
+    folded = profile.profiles(records.stream_events(spark, f"{tmp_path}/in", maxFilesPerTrigger=1))
+    for _ in range(2):
+        folded.writeStream.outputMode("complete").foreachBatch(profile_table(f"{tmp_path}/p")).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    now = latest_profiles(spark, f"{tmp_path}/p")
+    want = profile.profiles(events)
+    assert sorted(map(tuple, now.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert profile.lookup(now, "2")["card"] == 2
+
+
+def test_two_decimals_round_as_c_does(spark):
+    rng = random.Random(1)
+    xs = [2.675, 0.125, 1.005, 1.115, 8.345, 0.0, -0.125, 0.005, 1e-9, 99.995, 999.995, 0.375, 1e14 + 0.125, 3e15] + [rng.randrange(10**7) / 1000 for _ in range(3000)] + [rng.random() * 10 ** rng.randint(-4, 9) for _ in range(2000)]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").coalesce(1).select(two_decimals(F.col("x"))).collect()]
+    assert got == [f"{x:.2f}" for x in xs]
+
+
 @pytest.fixture(scope="module")
 def one_profile(spark):
     rows = [(1, T0, 1.2, False, "GB"), (2, T0 + 120_000, 486.31, True, "SG"), (3, T0 + 60_000, 0.8, False, "FR")]
@@ -117,6 +171,9 @@ def test_profile_server(one_profile):
     with pytest.raises(urllib.error.HTTPError) as e:
         urllib.request.urlopen(f"{base}/profile?key=424242")
     assert e.value.code == 404
+    with pytest.raises(urllib.error.HTTPError) as e:
+        urllib.request.urlopen(f"{base}/scan?limit=many")
+    assert e.value.code == 400
     http.shutdown()
 
 

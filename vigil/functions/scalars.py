@@ -36,3 +36,17 @@ def in_band(x: Column, low: float, high: float) -> Column:
 def risk_score(declines: Column, max_amount: Column, high_amount: float = 400.0) -> Column:
     """25 for each of up to four declines, 15 for a high amount, at most 100."""
     return F.least(F.lit(100), 25 * F.least(declines, F.lit(4)) + F.when(max_amount >= high_amount, 15).otherwise(0)).cast("long")
+
+
+def two_decimals(x: Column) -> Column:
+    """A number to two decimals as C's printf gives it: the exact binary value is rounded, ties to even. (Spark's own
+    formatting rounds the shortest decimal text half up.) Numbers of 10^15 and more have Spark's."""
+    whole = F.floor(F.abs(x))
+    rest = (F.abs(x) - whole) * F.lit(float(1 << 52))  # exact; below 1 it has a fraction of its own
+    more = (rest - F.floor(rest)) * 100
+    scaled = F.floor(rest) * 100 + F.floor(more)
+    cents, left = F.shiftright(scaled, 52), scaled.bitwiseAND(F.lit((1 << 52) - 1))
+    up = (left > 1 << 51) | (left == 1 << 51) & ((more > F.floor(more)) | (cents % 2 == 1))
+    total = whole * 100 + cents + up.cast("long")
+    text = F.concat(F.when(x < 0, "-").otherwise(""), F.floor(total / 100).cast("string"), F.lit("."), F.lpad((total % 100).cast("string"), 2, "0"))
+    return F.when(F.abs(x) < 1e15, text).otherwise(F.format_string("%.2f", x))

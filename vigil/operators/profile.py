@@ -68,7 +68,11 @@ def server(table: DataFrame, port: int = 0) -> HTTPServer:
             if url.path == "/profile" and (found := lookup(table, args.get("key", [""])[0])):
                 body = to_json(found)
             elif url.path == "/scan":
-                entries, more = scan(table, int(args.get("limit", ["100"])[0]))
+                limit = args.get("limit", ["100"])[0]
+                if not limit.isdecimal():
+                    self.send_error(400, "limit is no number")
+                    return
+                entries, more = scan(table, int(limit))
                 body = '{"entries":[' + ",".join(map(to_json, entries)) + f'],"truncated":{json.dumps(more)}' + "}"
             else:
                 self.send_error(404)

@@ -7,22 +7,23 @@ the rules if their measured size allows it and else joins by merchant, splitting
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vigil.functions.scalars import two_decimals
 from vigil.schema import ALERT
 
 
+def is_sealed(rules: DataFrame) -> bool:
+    return not rules.filter(F.col("kind") == "end_of_rules").isEmpty()
+
+
 def sealed(rules: DataFrame) -> DataFrame:
     """The rules of a sealed set; none of an unsealed one."""
     seals = rules.filter(F.col("kind") == "end_of_rules").agg(F.count("*")).scalar()
     return rules.filter((F.col("kind") != "end_of_rules") & (seals > 0))
 
 
-def _money(x: Column) -> Column:
-    return F.format_string("%.2f", x)  # amounts and caps have two decimals already
-
-
 def rule_hits(events: DataFrame, rules: DataFrame) -> DataFrame:
     """Alerts of purchases at watched merchants and of those over a merchant's cap."""
     e = events.filter(F.col("type") == "auth").select("card", "ts", "amount", "merchant")
@@ -35,7 +36,7 @@ def rule_hits(events: DataFrame, rules: DataFrame) -> DataFrame:
         F.lit("card").alias("entity_kind"),
         F.col("card").alias("entity_id"),
         "ts",
-        F.when(watched, F.concat(F.lit("auth at watchlisted "), "merchant", F.lit(" for "), _money(F.col("amount"))))
-        .otherwise(F.concat(F.lit("auth at "), "merchant", F.lit(" for "), _money(F.col("amount")), F.lit(" over cap "), _money(F.col("cap"))))
+        F.when(watched, F.concat(F.lit("auth at watchlisted "), "merchant", F.lit(" for "), two_decimals(F.col("amount"))))
+        .otherwise(F.concat(F.lit("auth at "), "merchant", F.lit(" for "), two_decimals(F.col("amount")), F.lit(" over cap "), two_decimals(F.col("cap"))))
         .alias("detail"),
     ).to(ALERT)

@@ -1,7 +1,9 @@
 """Newline-delimited JSON records in and out.
 
-A record counts only if all its keys are present and well formed; any other line is dropped. ``id`` is assigned in
-arrival order, so it stands for the order of lines, which a distributed scan doesn't keep.
+A record counts only if all its keys are present and well formed; any other line is dropped. A key's value is what
+follows its first occurrence, up to the closing quote or else to the next comma or brace, so numbers may be quoted and
+of repeated keys the first counts. Lines are flat objects without escapes. ``id`` is assigned in arrival order, so it
+stands for the order of lines, which a distributed scan doesn't keep.
 """
 
 from __future__ import annotations
@@ -14,11 +16,22 @@ from vigil.schema import ALERT, EVENT, EVENT_TYPES, RULE, RULE_KINDS
 
 _FLAGS = ("approved", "present")
 _WIRE_EVENT = T.StructType([T.StructField(f.name, T.LongType() if f.name in _FLAGS else f.dataType) for f in EVENT])
+_NUMBER = {T.LongType(): r"^-?[0-9]+$", T.DoubleType(): r"(?i)^ *[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$|^ *[+-]?(inf|infinity|nan)$"}
+
+
+def _value(found: Column, key: str, kind: T.DataType) -> Column:
+    """The value in ``"key":value``, as found in a line; null if malformed."""
+    raw = F.substr(found, F.lit(len(key) + 4))
+    raw = F.when(F.startswith(raw, F.lit('"')), F.substr(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
+    out = F.when(raw.rlike(_NUMBER[kind]), F.btrim(raw).try_cast(kind)) if kind in _NUMBER else raw
+    return F.when(found != "", out)
 
 
 def _complete(lines: DataFrame, schema: T.StructType, text: Column) -> DataFrame:
-    row = lines.select(F.from_json(text, schema).alias("r")).select("r.*")
-    return row.na.drop("any")
+    found = [F.regexp_extract(text, f'"{f.name}":("[^"]*"|(?!")[^,}}]*(?=[,}}]))', 0).alias(f.name) for f in schema]
+    # generated from an array of one: filters on it stay above, so that a line is searched once
+    row = lines.select(F.inline(F.array(F.struct(*found))))
+    return row.select(*[_value(F.col(f.name), f.name, f.dataType).alias(f.name) for f in schema]).na.drop("any")
 
 
 def parse_events(lines: DataFrame, column: str = "value") -> DataFrame:
