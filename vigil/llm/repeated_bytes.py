@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -40,8 +40,8 @@ from vigil.llm import hashing, repeats, scratch
 from vigil.plans.shipping import ship
 
 WINDOW, GRAM, STEP = 400, 32, 16
-#: Members gathered in a task at most: some 200 KB of text.
-BUCKET = 256
+#: Members gathered in a task at most: some 1.5 MB of text.
+BUCKET = 2048
 ROUNDS = 9  # 2^9 places are more than an anchor can have in a window
 
 
@@ -182,9 +182,13 @@ def _refined(nodes: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc, th, lo, hi) of ``repeats.keyed`` documents: byte spans [lo, hi) of windows that start elsewhere too."""
     cells = scratch.table(repeats.met(docs, _pieces, _cells, ordered=False))
+    # contested cells of one text that met in no part: a text has no more of them than there are parts
+    same = Window.partitionBy("gram", "u")
+    further = cells.filter("further").withColumns({"copies": F.count("*").over(same), "number": F.row_number().over(same.orderBy(repeats.place("at")))})
+    further = scratch.table(further)
     lo = repeats.lo_of("at")
-    found = [cells.filter("final").select("doc", "th", lo.alias("lo"), (lo + repeats.n_of("at") + (WINDOW - 1)).alias("hi"))]
-    nodes = _nodes(cells.filter("further"), docs)
+    found = [x.select("doc", "th", lo.alias("lo"), (lo + repeats.n_of("at") + (WINDOW - 1)).alias("hi")) for x in (cells.filter("final"), further.filter("copies > 1 and not final"))]
+    nodes = _nodes(further.filter("number = 1"), docs)
     for level in range(1, ROUNDS + 1):
         found.append(_refined(nodes.filter(F.col("n") <= BUCKET)))
         large = nodes.filter(F.col("n") > BUCKET)

@@ -115,7 +115,7 @@ def scattered(*of: np.ndarray) -> np.ndarray:
 
 
 def _settled(rank: np.ndarray, cells: tuple[np.ndarray, ...], ordered: bool) -> tuple[np.ndarray, ...]:
-    """(row, at, gram, u) of a part's rows: see the module's text."""
+    """(row, at, key, u, gram) of a part's rows: see the module's text."""
     row, lo, n, off, gram, u = cells
     order, head, again = heads(rank[row], lo, gram, u)
     first = head == np.arange(len(order))
@@ -139,7 +139,7 @@ def _settled(rank: np.ndarray, cells: tuple[np.ndarray, ...], ordered: bool) ->
         cat(row, row[marks]),
         cat(packed(lo, n, off, state), packed(lo[marks], n[marks], off[marks], OPEN | MARK)),
         cat(key, gram[marks]),
-        cat(np.where(free, 0, u), u[marks]),
+        cat(np.where(state == 0, 0, u), u[marks]),
         cat(np.where(state & HARD != 0, gram, 0), np.zeros(len(marks), np.int64)),
     )
 
@@ -165,7 +165,7 @@ def blocks(texts: Iterator[tuple[int, bytes]], pieces: Pieces) -> Iterator[tuple
 
 
 def met(docs: DataFrame, pieces: Pieces, cells: Cells, ordered: bool) -> DataFrame:
-    """(doc, th, at, gram, final, further) of ``keyed`` documents' cells that repeat, wholly (final) or perhaps in part
+    """(doc, th, at, gram, u, final, further) of ``keyed`` documents' cells that repeat, wholly (final) or perhaps in part
     (further). ``cells`` makes (piece, first window, windows, distance to the anchor, gram, hash of all) from a list of
     pieces. ``ordered``: the first of equal cells is no repeat; else all are."""
     ship(docs.sparkSession)
@@ -205,7 +205,7 @@ def met(docs: DataFrame, pieces: Pieces, cells: Cells, ordered: bool) -> DataFra
         final = is_("at", DONE) | F.when(F.col("is_open"), F.count_if(~F.col("is_mark")).over(Window.partitionBy("key", "u")) > 1).otherwise(~is_("at", HARD))
     further = is_("at", HARD) | (F.col("is_open") & head & F.col("contested"))
     rows = rows.withColumns({"final": final, "further": further}).filter("not is_mark and (final or further)")
-    return rows.select("doc", "th", "at", F.when(F.col("is_open"), F.col("key")).otherwise(F.col("gram")).alias("gram"), "final", "further")
+    return rows.select("doc", "th", "at", F.when(F.col("is_open"), F.col("key")).otherwise(F.col("gram")).alias("gram"), "u", "final", "further")
 
 
 def place(*more: Column | str) -> Column:
