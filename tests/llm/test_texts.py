@@ -315,6 +315,17 @@ def test_license_scan(spark, none):
         license_scan.template_shingles("too short")
 
 
+def test_key_words_are_in_every_sufficient_part():
+    rng = random.Random(3)
+    keys = license_scan.key_words(license_scan.TEMPLATES)
+    assert len(keys) <= license_scan.MAX_KEYS
+    for text in license_scan.TEMPLATES.values():
+        shingles = license_scan.template_shingles(text)
+        for _ in range(200):
+            part = rng.sample(shingles, len(shingles) - int(0.2 * len(shingles) + 1e-9))
+            assert any(set(k) <= {w for s in part for w in s.split()} for k in keys)
+
+
 def test_license_scan_finds_copies_of_four_fifths(spark):
     """Planted copies with some words changed, held against the share of shingles that is left in each; a template of
     1,500 words, longer than all notices, included."""

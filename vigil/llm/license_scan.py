@@ -9,7 +9,8 @@ of the window's size retrieves that template. A window around four fifths of a t
 share of the template's shingles in the window, which must be ``CONTAINMENT``.
 
 Two exact filters keep this off the great mass of text: a document must hold a key word (the driver picks words such
-that each template shingle has one), and a window must hold a template shingle; without one the containment is 0.
+that a text with enough of a template has one), and a window must hold a template shingle; without one the containment
+is 0.
 
 Defined results: a null or empty text has no match; a document's repeated matches of a template give its best one (the
 first of equal ones); rows with the same id are reported as one; extra columns are left out; an empty table gives an
@@ -101,17 +102,24 @@ def window_size(n: int) -> int:
     return size
 
 
-def key_words(shingles: list[str]) -> list[list[str]]:
-    """Sets of words such that a text with any of the shingles holds all words of some set: long words that many
-    shingles have, and all words of a shingle that has no long one."""
-    left = [[w for w in s.split() if len(w) >= 5] for s in shingles]
-    out = [sorted(set(s.split())) for s, words in zip(shingles, left, strict=True) if not words]
-    left = [words for words in left if words]
-    while left:
-        count = Counter(w for words in left for w in set(words))
-        best = max(count, key=lambda w: (count[w] * min(len(w) - 3, 5), w))
-        out.append([best])
-        left = [words for words in left if best not in words]
+def key_words(templates: dict[str, str]) -> list[list[str]]:
+    """Sets of words such that a text with ``CONTAINMENT`` of a template's shingles holds all words of some set: for each
+    template long words that more of its shingles have than may be missing, or else all words of so many shingles."""
+    out: list[list[str]] = []
+    for text in templates.values():
+        left = template_shingles(text)
+        need = int((1 - CONTAINMENT) * len(left) + 1e-9) + 1
+        for known in out:
+            covered = [s for s in left if set(known) <= set(s.split())]
+            need -= len(covered)
+            left = [s for s in left if s not in covered]
+        while need > 0:
+            count = Counter(w for s in left for w in set(s.split()) if len(w) >= 5)
+            words = [max(count, key=lambda w: (min(count[w], need) * min(len(w) - 3, 5), w))] if count else sorted(set(left[0].split()))
+            covered = {s for s in left if set(words) <= set(s.split())}
+            out.append(words)
+            need -= len(covered)
+            left = [s for s in left if s not in covered]
     return out
 
 
@@ -153,7 +161,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     every = sorted({s for t in templates.values() for s in template_shingles(t)})
     sizes = sorted({window_size(len(template_shingles(t))) for t in templates.values()})
     lower = F.lower(F.col(f"`{text_col}`"))
-    keys = key_words(every)
+    keys = key_words(templates)
     # looking for very many key words costs more than cutting all texts into shingles
     holds = reduce(or_, [reduce(and_, [F.contains(lower, F.lit(w)) for w in words]) for words in keys]) if len(keys) <= MAX_KEYS else F.lit(True)
     df = docs.filter(holds).select(F.col(f"`{id_col}`").alias(id_col), F.split(F.btrim(F.regexp_replace(lower, r"[^\p{L}\p{N}]+", " ")), " ", -1).alias("w"))
