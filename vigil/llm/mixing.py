@@ -59,8 +59,9 @@ def targets(sizes: Sequence[int], weights: Sequence[float], share: float = SHARE
 def min_cost_flow(patterns: Sequence[tuple[frozenset[int], int]], quotas: Sequence[int], passes: int = PASSES) -> dict[tuple[int, int], int]:
     """Words that pattern p gives to source s: {(p, s): words}. A pattern's k-th pass costs k - 1 a word.
 
-    Successive shortest paths with potentials over source -> pattern arcs; the passes of a pattern are parallel arcs
-    of rising cost to the sink.
+    The passes of a pattern are parallel arcs of rising cost to the sink, and all other arcs are free, so a cheapest path
+    is any path to the cheapest pass with room: passes are filled in order, each by shortest augmenting paths (by number
+    of hops), which may move words of a pattern from one source to another.
     """
     flow: dict[tuple[int, int], int] = {}
     members: dict[int, list[int]] = {s: [] for s in range(len(quotas))}
