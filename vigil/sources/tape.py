@@ -83,60 +83,81 @@ def account_noise(spark: SparkSession, seed: int, days: int, accounts: int) -> D
     return _rows(df, ts=F.col("start") + F.col("s.delay"), type=F.col("s.kind"), account=F.col("a"), amount=F.col("s.amount"))
 
 
-def _event(ts: float, kind: str, **more: object) -> dict:
-    return {"ts": int(ts), "type": kind, "card": 0, "account": 0, "amount": 0.0, "approved": False, "present": False, "lat": 0.0, "lon": 0.0, "merchant": "", "country": ""} | more
+#: Planted entities have numbers from here on, beyond those of the noise.
+PLANTED = 50_000
+#: Own merchants of the rules: (kind, merchant, active from this share of the tape on, cap).
+PLANTED_RULES = (("merchant_watchlist", "attic-auctions", 0.0, 0.0), ("merchant_watchlist", "lantern-lounge", 0.5, 0.0), ("merchant_watchlist", "never-yet", 1.0, 0.0), ("merchant_cap", "marble-arcade", 0.0, 350.0))
 
 
-def _auth(ts: float, card: int, amount: float, approved: bool = True, city: int = 0, merchant: str = MERCHANTS[0], present: bool = False) -> dict:
-    _, lat, lon, country = CITIES[city]
-    return _event(ts, "auth", card=card, amount=amount, approved=approved, present=present, lat=lat, lon=lon, merchant=merchant, country=country)
+def _event(minute: float, kind: str, **more: object) -> dict:
+    return dict.fromkeys(("card", "account"), 0) | {"minute": minute, "type": kind, "amount": 0.0, "approved": False, "present": False, "lat": 0.0, "lon": 0.0, "merchant": "", "country": ""} | more
 
 
-def campaigns(seed: int) -> tuple[list[dict], list[tuple], list[tuple]]:
-    """Events, rules, and (pattern, entity_kind, entity_id, number of alerts) of each campaign; 0 marks a control."""
+def _auth(minute: float, amount: float, approved: bool = True, city: str = "Oslo", merchant: str = MERCHANTS[-1], present: bool = False) -> dict:
+    lat, lon, country = next(c[1:] for c in CITIES if c[0] == city)
+    return _event(minute, "auth", amount=amount, approved=approved, present=present, lat=lat, lon=lon, merchant=merchant, country=country)
+
+
+def _probes(n: int, strike: float, rng: random.Random) -> list[dict]:
+    """n declined purchases of small change, 70 seconds apart at most, and one of ``strike``."""
+    every = min(70, 540 // n) / 60
+    return [_auth(k * every, round(rng.uniform(0.1, 2.0), 2), approved=False) for k in range(n)] + [_auth(n * every, strike)]
+
+
+def _trip(a: str, b: str, minutes: float, present: bool = True) -> list[dict]:
+    return [_auth(0, 31.4, city=a, present=present), _auth(minutes, 27.18, city=b, present=present)]
+
+
+def _drain(fails: int, amount: float, verified: float | None = None) -> list[dict]:
+    """Failed logins every half minute, a new password after 12 minutes, money out after 20."""
+    steps = [_event(k / 2, "login_fail") for k in range(fails)] + [_event(12, "password_change"), _event(20, "transfer", amount=amount)]
+    return steps + ([] if verified is None else [_event(verified, "otp_verify")])
+
+
+def _request(verified: float | None = None) -> list[dict]:
+    return [_event(0, "otp_request")] + ([] if verified is None else [_event(verified, "otp_verify")])
+
+
+def _slices(every: float, *amounts: float) -> list[dict]:
+    return [_event(k * every * 60, "transfer", amount=x) for k, x in enumerate(amounts)]
+
+
+def _purchases(merchant: str, *of: tuple[float, float]) -> list[dict]:
+    """(hour, amount) each."""
+    return [_auth(hour * 60, amount, merchant=merchant) for hour, amount in of]
+
+
+def campaigns(seed: int, days: int) -> tuple[list[dict], list[tuple], list[tuple]]:
+    """Events, rules, and (pattern, entity_kind, entity_id, number of alerts) of each campaign; 0 marks a control.
+
+    Each detector gets campaigns just inside its conditions and controls just outside of one of them. Scripts of several
+    hours start at the tape's beginning, the others at even distances over it."""
     rng = random.Random(seed)
-    at = lambda days: BASE_TS + int(days * DAY)
+    half = days * DAY / HOUR / 2
+    short = [
+        ("card_testing", 1, _probes(4, 251.0, rng)), ("card_testing", 1, _probes(18, 777.0, rng)), ("card_testing", 0, _probes(3, 777.0, rng)), ("card_testing", 0, _probes(9, 249.0, rng)),
+        ("impossible_travel", 1, _trip("Oslo", "Madrid", 100)), ("impossible_travel", 0, _trip("Paris", "Madrid", 75)), ("impossible_travel", 0, _trip("Oslo", "Singapore", 20, present=False)),
+        ("account_takeover", 1, _drain(3, 1500.0)), ("account_takeover", 1, _drain(8, 9000.0)), ("account_takeover", 0, _drain(2, 9000.0)), ("account_takeover", 0, _drain(5, 9000.0, verified=15)), ("account_takeover", 0, _drain(5, 1499.0)),
+        ("otp_never_verified", 1, _request()), ("otp_never_verified", 1, _request(verified=5.5)), ("otp_never_verified", 0, _request(verified=4.5)),
+    ]
+    long = [
+        ("structuring", 1, _slices(5, 999.0, 801.0, 960.0, 840.0)), ("structuring", 1, _slices(2, 805.0, 810.0, 815.0, 820.0)), ("structuring", 0, _slices(9, 999.0, 999.0, 999.0, 999.0)), ("structuring", 0, _slices(3, 1000.0, 1000.0, 799.0, 1000.0)),
+        ("watchlist_hit", 3, _purchases("attic-auctions", (2, 18.0), (20, 33.5), (41, 7.25))), ("watchlist_hit", 1, _purchases("lantern-lounge", (half - 12, 52.0), (half + 12, 64.0))), ("watchlist_hit", 0, _purchases("never-yet", (6, 91.0), (30, 12.0))),
+        ("cap_exceeded", 2, _purchases("marble-arcade", (1, 350.0), (15, 350.01), (33, 120.0), (50, 400.0))),
+    ]
     events, expected = [], []
-    for card, day in ((9001, 0.4), (9002, 1.6)):
-        events += [_auth(at(day) + k * MINUTE, card, round(rng.uniform(0.5, 1.9), 2), approved=False) for k in range(6)]
-        events.append(_auth(at(day) + 6 * MINUTE, card, 486.31))
-        expected.append(("card_testing", "card", card, 1))
-    for card, day, city, gap, alerts in ((9101, 0.7, 1, 45, 1), (9102, 2.2, 1, 45, 1), (9103, 1.1, 2, 50, 0)):
-        events += [_auth(at(day), card, 60.0, present=True), _auth(at(day) + gap * MINUTE, card, 80.0, city=city, present=True)]
-        expected.append(("impossible_travel", "card", card, alerts))
-    for account, day, verified in ((8001, 0.9, False), (8002, 1.9, True)):
-        t = at(day)
-        events += [_event(t + k * MINUTE, "login_fail", account=account) for k in range(5)]
-        events += [_event(t + 6 * MINUTE, "otp_verify", account=account)] if verified else []
-        events += [_event(t + 7 * MINUTE, "password_change", account=account), _event(t + 10 * MINUTE, "transfer", account=account, amount=2400.0)]
-        expected.append(("account_takeover", "account", account, 0 if verified else 1))
-    for account, day, verified in ((8101, 0.5, None), (8102, 1.3, None), (8103, 2.5, None), (8104, 1.7, 290)):
-        t = at(day)
-        events.append(_event(t, "otp_request", account=account))
-        if verified:
-            events.append(_event(t + verified * 1000, "otp_verify", account=account))
-        else:  # a later pair shows that the request times out and not the account
-            events += [_event(t + 40 * MINUTE, "otp_request", account=account), _event(t + 40 * MINUTE + 45_000, "otp_verify", account=account)]
-        expected.append(("otp_never_verified", "account", account, 0 if verified else 1))
-    for account, day, amounts, hours, alerts in ((8201, 0.6, (850.0, 920.0, 880.0, 940.0), 3, 1), (8202, 0.3, (870.0, 910.0), 27, 0)):
-        events += [_event(at(day) + k * hours * HOUR, "transfer", account=account, amount=x) for k, x in enumerate(amounts)]
-        expected.append(("structuring", "account", account, alerts))
-    rules = []
-    for card, merchant, kind, start, cap, uses, alerts in (
-        (9301, "grey-imports", "merchant_watchlist", 0, 0.0, ((0.8, 95.0), (1.5, 140.0)), 2),
-        (9302, "night-bazaar", "merchant_watchlist", 1.5, 0.0, ((0.6, 60.0), (1.0, 75.0), (1.9, 82.0), (2.4, 66.0)), 2),
-        (9303, "grand-casino", "merchant_cap", 0, 500.0, ((0.5, 320.0), (1.1, 480.0), (1.7, 650.0), (2.3, 720.0)), 2),
-        (9304, "pop-up-vintage", "merchant_watchlist", 2.9, 0.0, ((0.5, 45.0), (1.2, 58.0)), 0),
-    ):
-        rules.append((kind, merchant, at(start), cap))
-        events += [_auth(at(day), card, amount, merchant=merchant) for day, amount in uses]
-        expected.append(("watchlist_hit" if kind == "merchant_watchlist" else "cap_exceeded", "card", card, alerts))
+    for i, (pattern, alerts, script) in enumerate(short + long):
+        kind = "account" if pattern in ("account_takeover", "otp_never_verified", "structuring") else "card"
+        start = BASE_TS + ((i + 1) * days * DAY // (len(short) + 2) if i < len(short) else 0)
+        events += [e | {kind: PLANTED + i, "ts": int(start + e["minute"] * MINUTE)} for e in script]
+        expected.append((pattern, kind, PLANTED + i, alerts))
+    rules = [(kind, merchant, int(BASE_TS + share * days * DAY), cap) for kind, merchant, share, cap in PLANTED_RULES]
     return events, [*rules, ("end_of_rules", "", 0, 0.0)], expected
 
 
 def tape(spark: SparkSession, seed: int = 7, days: int = 3, cards: int = 220, accounts: int = 160) -> tuple[DataFrame, DataFrame, DataFrame]:
     """EVENT rows, RULE rows and the campaigns (pattern, entity_kind, entity_id, alerts)."""
-    planted, rules, expected = campaigns(seed)
+    planted, rules, expected = campaigns(seed, days)
     names = [f.name for f in EVENT if f.name != "id"]
     own = _rows(spark.createDataFrame([tuple(e[n] for n in names) for e in planted], ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in EVENT if f.name != "id")), **{n: F.col(n) for n in names})
     rows = card_noise(spark, seed, days, cards).unionByName(account_noise(spark, seed, days, accounts))
