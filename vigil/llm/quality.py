@@ -23,7 +23,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm import scratch
 
 #: The usual function words of each language, lower case.
 COMMON_WORDS = {
@@ -99,7 +98,8 @@ def _count(text: Column, part: Column) -> Column:
 def measured(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` with a struct ``__vg_q`` of the counts and histograms of each text.
 
-    The columns are made in steps, since each step reads the one before many times.
+    The columns are made in steps, since each step reads the one before many times. The struct comes out of an explode of
+    one element: a filter on it stays above, and so does not repeat the expressions of every step.
     """
     text_col, lang_col = f"`{text_col}`", f"`{lang_col}`"
     text, w, g, s = F.coalesce(F.col(text_col), F.lit("")), F.col("__vg_w"), F.col("__vg_g"), F.col("__vg_s")
@@ -136,7 +136,7 @@ def measured(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
         classes.alias("classes"),
         F.array(*[F.coalesce(_count(F.col("__vg_h"), F.concat(F.lit(" "), F.get(F.col("__vg_c"), F.lit(i)), F.lit(" "))), F.lit(0.0)) for i in range(N_HITS)]).alias("hits"),
     )
-    return df.withColumn("__vg_q", q).drop("__vg_w", "__vg_l", "__vg_t", "__vg_c", "__vg_g", "__vg_h", "__vg_s", "__vg_p")
+    return df.withColumn("__vg_q", q).withColumn("__vg_q", F.explode(F.array("__vg_q"))).drop("__vg_w", "__vg_l", "__vg_t", "__vg_c", "__vg_g", "__vg_h", "__vg_s", "__vg_p")
 
 
 def _shares(counts: Sequence[float], total: float) -> list[float]:
@@ -211,8 +211,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """One row per document: its id, its counts, the verdict and both distances."""
     own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
     base, class_d, word_d, kept = verdict(refs or references())
-    # written, since a filter on the result would else move below and repeat the expressions of every step
-    return scratch.table(measured(own).select("id", "__vg_q")).select(
+    return measured(own).select(
         F.col("id").alias(id_col),
         *[F.col("__vg_q")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         base.alias("base_failed"),
@@ -224,4 +223,4 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def keep_clean(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", refs: dict[str, Reference] | None = None) -> DataFrame:
     """The documents that pass, with all their columns."""
-    return scratch.table(measured(docs, text_col, lang_col)).filter(verdict(refs or references())[-1]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return measured(docs, text_col, lang_col).filter(verdict(refs or references())[-1]).select(*[F.col(f"`{c}`") for c in docs.columns])

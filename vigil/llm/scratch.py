@@ -14,9 +14,12 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+#: The tables that are not deleted yet, and the session of each.
+_left: dict[str, SparkSession] = {}
 #: Spark then deletes the shuffle files of a query when it ends, and not when its driver next collects garbage.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -51,13 +54,50 @@ def table(df: DataFrame) -> DataFrame:
     spark, path = df.sparkSession, folder(df.sparkSession)
     with cleaned(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _left[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out.vg_path = path
+    return out
+
+
+def track(spark: SparkSession, path: str) -> None:
+    """A path from ``folder`` that was written by other means, to be deleted like a table."""
+    _left[path] = spark
 
 
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by ``table`` that no plan reads any more."""
     for df in tables:
-        spark = df.sparkSession
-        for name in df.inputFiles()[:1]:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.vg_path)
+
+
+def delete(path: str) -> None:
+    spark = _left.pop(path, None)
+    if spark is not None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def owned() -> Iterator[None]:
+    """Tables made inside are deleted at the end. What operators return is lazy and reads such tables, so the results
+    must be written inside too."""
+    before = set(_left)
+    try:
+        yield
+    finally:
+        for path in set(_left) - before:
+            delete(path)
+
+
+@atexit.register
+def _at_end() -> None:
+    """Tables that lazy results read go when the driver's Python ends, if its Spark is still there."""
+    for path, spark in list(_left.items()):
+        if spark.sparkContext._jsc is None:
+            _left.pop(path)
+            continue
+        try:
+            delete(path)
+        except (OSError, Py4JError):  # the JVM ended first
+            return
