@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import arc_convert, decontaminate, license_scan, mixing, quality, repeated_bytes, repeated_words, sharding, simhash_dedup, token_counts
+from vigil.llm import arc_convert, conversation_trie, decontaminate, license_scan, mixing, quality, repeated_bytes, repeated_words, sharding, simhash_dedup, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, convs = conversation_trie.spliced(conversation_trie.numbered(_read(spark, sf_dir, "conversations")))
+    return conversation_trie.trie(turns, convs)
+
+
 def queries() -> dict:
     named = [
         op1_mix_sources,
@@ -67,12 +72,13 @@ def queries() -> dict:
         op8_arc_to_warc,
         op9_substring_dedup,
         op10_token_counts,
+        op11_conversation_trie,
     ]
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_shards": _op6_sql(), "op8_arc_to_warc": _OP8_SQL, "op9_substring_dedup": _op9_sql()}
+    return {"op6_shards": _op6_sql(), "op8_arc_to_warc": _OP8_SQL, "op9_substring_dedup": _op9_sql(), "op11_conversation_trie": _op11_sql()}
 
 
 #: Base32 from five hexadecimal digits at a time, which are four letters.
@@ -115,3 +121,42 @@ SELECT d.doc_id, CAST(slots.shard AS INTEGER) AS shard
 FROM documents d
 JOIN slots ON slots.slot = CAST('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % {sharding.SLOTS}
 """
+
+
+def _crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of a text: one step a byte, with the table of the reversed polynomial 0x04C11DB7."""
+    table = []
+    for x in range(256):
+        for _ in range(8):
+            x = x >> 1 ^ 0xEDB88320 * (x & 1)
+        table.append(x)
+    codes = f"list_transform(range(0, strlen({text})), lambda i: CAST('0x' || substr(hex(encode({text})), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))"
+    step = f"lambda c, b: xor(c >> 8, CAST({table} AS BIGINT[])[CAST((xor(c, b) & 255) + 1 AS BIGINT)])"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), {step}), CAST(4294967295 AS BIGINT))"
+
+
+def _op11_sql() -> str:
+    return f"""
+WITH k AS (SELECT conv_id, turn, coalesce(text, '') AS text, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS key FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, strlen(text) AS b, key, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, key) AS pos FROM k),
+n AS (SELECT conv_id, max(pos) AS n FROM o GROUP BY conv_id),
+c AS (SELECT n.conv_id AS c, n.conv_id - n.conv_id % 5 AS p, {_crc32_sql("CAST(n.conv_id AS VARCHAR)")} % 9 AS h FROM n),
+r AS (
+  SELECT c.c, o.pos AS d, o.key, o.b FROM c JOIN o ON o.conv_id = c.p AND o.pos <= c.h
+  UNION ALL SELECT c.c, o.pos - c.h + least(c.h, coalesce(n.n, 0)), o.key, o.b FROM c JOIN o ON o.conv_id = c.c AND o.pos > c.h LEFT JOIN n ON n.conv_id = c.p
+),
+a AS (SELECT c, 0 AS d, '' AS prefix, 0 AS b FROM c UNION ALL SELECT c, d, string_agg(key, '') OVER (PARTITION BY c ORDER BY d), b FROM r),
+x AS (SELECT d, prefix, min(c) AS conv_id, count(*) AS n, max(b) AS b FROM a GROUP BY d, prefix),
+m AS (SELECT a.c, a.d, x.conv_id FROM a JOIN x ON a.d = x.d AND a.prefix = x.prefix),
+y AS (SELECT x.d, x.conv_id, x.n, x.b, m.conv_id AS parent FROM x LEFT JOIN m ON m.c = x.conv_id AND m.d = x.d - 1),
+kids AS (SELECT d - 1 AS d, parent AS conv_id, count(*) AS n FROM y GROUP BY ALL),
+sub AS (
+  SELECT m.d, m.conv_id, sum((y.n - 1) * y.b) AS saved, count(*) FILTER (WHERE kids.n IS NULL) AS leaves
+  FROM y JOIN m ON m.c = y.conv_id AND m.d <= y.d LEFT JOIN kids ON kids.d = y.d AND kids.conv_id = y.conv_id GROUP BY ALL
+),
+last AS (SELECT c, max(d) AS d FROM a GROUP BY c),
+ends AS (SELECT m.d, m.conv_id, string_agg(CAST(m.c AS VARCHAR), ',' ORDER BY m.c) AS ids FROM m JOIN last ON last.c = m.c AND last.d = m.d GROUP BY ALL)
+SELECT y.conv_id, CAST(y.d AS BIGINT) AS depth, y.parent AS parent_conv_id, CAST(y.n AS BIGINT) AS n_convs, CAST(coalesce(kids.n, 0) AS BIGINT) AS n_children,
+  CAST(sub.leaves AS BIGINT) AS n_leaves, CAST(sub.saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends.ids, '')) AS ends_sha256
+FROM y JOIN sub ON sub.d = y.d AND sub.conv_id = y.conv_id LEFT JOIN kids ON kids.d = y.d AND kids.conv_id = y.conv_id LEFT JOIN ends ON ends.d = y.d AND ends.conv_id = y.conv_id
+"""
