@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import arc_convert, conversation_trie, decontaminate, license_scan, mixing, quality, repeated_bytes, repeated_words, sharding, simhash_dedup, token_counts
+from vigil.llm import arc_convert, conversation_trie, decontaminate, license_scan, mixing, quality, repeated_bytes, repeated_words, sharding, simhash_dedup, spelling, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.trie(turns, convs)
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_read(spark, sf_dir, "documents"), every=spelling.EVERY)
+
+
 def queries() -> dict:
     named = [
         op1_mix_sources,
@@ -73,6 +77,7 @@ def queries() -> dict:
         op9_substring_dedup,
         op10_token_counts,
         op11_conversation_trie,
+        op12_spelling_variants,
     ]
     return {f.__name__: f for f in named}
 
