@@ -83,7 +83,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_shards": _op6_sql(), "op8_arc_to_warc": _OP8_SQL, "op9_substring_dedup": _op9_sql(), "op11_conversation_trie": _op11_sql()}
+    return {"op6_shards": _op6_sql(), "op8_arc_to_warc": _OP8_SQL, "op9_substring_dedup": _op9_sql(), "op11_conversation_trie": _op11_sql(), "op12_spelling_variants": _op12_sql()}
 
 
 #: Base32 from five hexadecimal digits at a time, which are four letters.
@@ -165,3 +165,29 @@ SELECT y.conv_id, CAST(y.d AS BIGINT) AS depth, y.parent AS parent_conv_id, CAST
   CAST(sub.leaves AS BIGINT) AS n_leaves, CAST(sub.saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends.ids, '')) AS ends_sha256
 FROM y JOIN sub ON sub.d = y.d AND sub.conv_id = y.conv_id LEFT JOIN kids ON kids.d = y.d AND kids.conv_id = y.conv_id LEFT JOIN ends ON ends.d = y.d AND ends.conv_id = y.conv_id
 """
+
+
+def _op12_sql() -> str:
+    upper = "".join(map(chr, range(65, 91)))
+    return f"""
+WITH RECURSIVE runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[a-z\u00C0-\u00FF]+')) AS w FROM documents),
+g AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w AS named, w, count(*) AS n FROM runs GROUP BY ALL),
+h AS (SELECT w, n, {_crc32_sql("named")} AS h FROM g),
+v AS (
+  SELECT CASE WHEN h % {spelling.EVERY} = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, CAST(sum(n) AS BIGINT) AS n
+  FROM h GROUP BY 1 HAVING length(word) >= {spelling.LEAST_LENGTH} AND sum(n) >= {spelling.LEAST_COUNT}
+),
+d AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+k AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM d),
+near AS (
+  SELECT a.word, b.word AS other, b.n FROM k a JOIN k b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT v.word, k.word, k.n FROM v JOIN k ON k.rest = v.word
+  UNION SELECT k.word, v.word, v.n FROM v JOIN k ON k.rest = v.word
+),
+best AS (SELECT word, count(*) AS n_near, max(n) AS best_n FROM near GROUP BY word),
+tops AS (SELECT near.word, min(near.other) AS form, any_value(near.n) AS form_n FROM near JOIN best ON best.word = near.word AND near.n = best.best_n GROUP BY near.word),
+f AS (SELECT v.word, tops.form, tops.form_n FROM v JOIN tops ON tops.word = v.word AND tops.form_n >= {spelling.RATIO} * v.n),
+up AS (SELECT word, word AS root FROM v UNION ALL SELECT up.word, f.form FROM up JOIN f ON f.word = up.root)
+SELECT v.word, f.form, up.root, v.n, CAST(coalesce(best.n_near, 0) AS BIGINT) AS n_near, CAST(f.form_n AS BIGINT) AS form_n
+FROM v JOIN up ON up.word = v.word AND NOT EXISTS (SELECT 1 FROM f x WHERE x.word = up.root) LEFT JOIN f ON f.word = v.word LEFT JOIN best ON best.word = v.word
+"""
