@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import arc_convert, conversation_trie, decontaminate, license_scan, mixing, quality, repeated_bytes, repeated_words, sharding, simhash_dedup, spelling, token_counts
+from vigil.llm import arc_convert, conversation_trie, decontaminate, license_scan, mixing, phrase_fingerprint, quality, repeated_bytes, repeated_words, sharding, simhash_dedup, spelling, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_read(spark, sf_dir, "documents"), every=spelling.EVERY)
 
 
+def op13_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_fingerprint.beside_next(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     named = [
         op1_mix_sources,
@@ -78,6 +82,7 @@ def queries() -> dict:
         op10_token_counts,
         op11_conversation_trie,
         op12_spelling_variants,
+        op13_phrase_fingerprints,
     ]
     return {f.__name__: f for f in named}
 
