@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.scalars import haversine_km, in_band
-from vigil.operators import checks, profile
+from vigil.operators import checks, native, profile
 from vigil.operators.cep import FOREVER, Detector, detect
 from vigil.operators.rules import rule_hits
 from vigil.plans.evolution import default_migrations
@@ -197,11 +197,57 @@ def haversine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("id", F.round(haversine_km(F.col("lat"), F.col("lon"), F.lit(51.5), F.lit(-0.1)), 3).alias("km"))
 
 
+#: How often time passes faster for the detectors, whose windows are of minutes and hours.
+QUICK, BRISK, SLOW = 400, 20, 10
+_START = 1704067200000
+
+
+def _fraud(spark: SparkSession, sf_dir: str, faster: int) -> DataFrame:
+    """The events as EVENT rows twice: as purchases of a card and, with larger ids, as actions of an account."""
+    e = _events(spark, sf_dir).withColumn("ts", F.expr(f"{_START} + (ts - {_START}) div {faster}"))
+    kind = F.create_map(*[F.lit(x) for pair in (("error", "login_fail"), ("signup", "password_change"), ("view", "otp_verify"), ("click", "otp_request"), ("purchase", "transfer")) for x in pair])
+    error, purchase = F.col("type") == "error", F.col("type") == "purchase"
+    transfer = F.when(F.col("id") % 2 == 0, 790 + F.col("amount")).otherwise(1000 + 30 * F.col("amount"))
+    both = F.inline(
+        F.array(
+            F.struct(F.col("id").alias("event"), F.lit("auth").alias("what"), F.col("user_id").alias("card"), F.lit(0).cast("long").alias("account"), F.when(error, F.col("amount") / 100).when(purchase, F.col("amount") * 10).otherwise(F.col("amount")).alias("sum")),
+            F.struct((F.col("id") + 10**12).alias("event"), kind[F.col("type")].alias("what"), F.lit(0).cast("long").alias("card"), F.col("user_id").alias("account"), transfer.alias("sum")),
+        )
+    )
+    return e.select("ts", "type", "k", both).select(
+        F.col("event").alias("id"), "ts", F.col("what").alias("type"), "card", "account", F.round("sum", 2).alias("amount"), (~error).alias("approved"), (F.col("type") == "view").alias("present"),
+        (F.col("k") / 2.0).alias("lat"), (F.col("k") * 1.5).alias("lon"), F.lit("m").alias("merchant"), F.concat(F.lit("C"), F.col("k").cast("string")).alias("country"),
+    )
+
+
+def card_testing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return native.card_testing(_fraud(spark, sf_dir, QUICK))
+
+
+def impossible_travel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without the detail, whose kilometres come from trigonometry."""
+    return native.impossible_travel(_fraud(spark, sf_dir, BRISK)).drop("detail")
+
+
+def account_takeover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return native.account_takeover(_fraud(spark, sf_dir, QUICK))
+
+
+def otp_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both channels of the pattern: requests verified in time and those never verified."""
+    return native.otp_requests(_fraud(spark, sf_dir, QUICK))
+
+
+def structuring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return native.structuring(_fraud(spark, sf_dir, SLOW))
+
+
 def queries() -> dict:
     named = [
         burst_then_strike, sequence_with_negation, running_total_trip, pairwise_rate, absence_timeout, sequence_completed, absence_by_matcher,
         effective_dated_rules, cap_rules, rules_unsealed, keyed_profile, profile_lookup, profile_scan, profile_v2_migrate, alert_union_counts,
         alert_multiset_diff, negative_controls, parse_events, type_filter, haversine,
+        card_testing, impossible_travel, account_takeover, otp_requests, structuring,
     ]
     return {f.__name__: f for f in named}
 
@@ -266,6 +312,60 @@ h AS (
 _FOLLOWED = f"EXISTS (SELECT 1 FROM e p WHERE p.user_id = s.user_id AND p.type = 'purchase' AND p.ts > s.ts AND p.ts <= s.ts + {24 * HOUR})"
 
 
+def _fraud_sql(faster: int) -> str:
+    """The events of cards (c) and accounts (a). Their ids are in order of time."""
+    return f"""{_E},
+q AS (SELECT id, {_START} + (ts - {_START}) // {faster} AS ts, type, user_id, amount AS v, k FROM e),
+c AS (SELECT *, round(CASE type WHEN 'error' THEN v / 100 WHEN 'purchase' THEN v * 10 ELSE v END, 2) AS amount FROM q),
+a AS (SELECT *, round(CASE WHEN id % 2 = 0 THEN 790 + v ELSE 1000 + 30 * v END, 2) AS amount FROM q)"""
+
+
+def _alert_sql(name: str, kind: str, faster: int, body: str, detail: str) -> str:
+    columns = f", {detail} AS detail" if detail else ""
+    return f"""WITH RECURSIVE {_fraud_sql(faster)},{body}
+SELECT '{name}' AS pattern, '{kind}' AS entity_kind, f.user_id AS entity_id, q.ts{columns} FROM found f JOIN {kind[0]} q ON q.id = f.e"""
+
+
+_PROBES = f"""
+pr AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY id) AS i FROM c WHERE type = 'error' AND amount <= 2),
+pairs AS (
+  SELECT s.user_id, s.id AS s, t.id AS t, t.amount, count(*) AS n, max(x.amount) AS top
+  FROM pr s JOIN c t ON t.user_id = s.user_id AND t.type <> 'error' AND t.amount >= 250 AND t.id > s.id AND t.ts - s.ts <= {10 * 60000}
+  JOIN pr x ON x.user_id = s.user_id AND x.i >= s.i AND x.i < s.i + 20 AND x.id < t.id GROUP BY ALL
+),
+cand AS (SELECT user_id, s, min(t) AS e, arg_min(n, t) AS n FROM pairs WHERE n >= 4 AND amount >= 20 * top GROUP BY user_id, s),{_CHAIN}"""
+_FAR = f"""
+v AS (SELECT *, k / 2.0 AS lat, k * 1.5 AS lon FROM c WHERE type = 'view'),
+pairs AS (
+  SELECT s.user_id, s.id AS s, t.id AS t, greatest(t.ts - s.ts, 1) / {HOUR}.0 AS hours,
+    2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(t.lat - s.lat) / 2), 2) + cos(radians(s.lat)) * cos(radians(t.lat)) * pow(sin(radians(t.lon - s.lon) / 2), 2)))) AS km
+  FROM v s JOIN v t ON t.user_id = s.user_id AND t.id > s.id AND t.ts - s.ts <= {6 * HOUR}
+),
+cand AS (SELECT user_id, s, min(t) AS e, 2 AS n FROM pairs WHERE km >= 200 AND km / hours > 900 GROUP BY user_id, s),{_CHAIN}"""
+_TAKEN = f"""
+fl AS (SELECT *, lead(id, 2) OVER (PARTITION BY user_id ORDER BY id) AS third FROM a WHERE type = 'error'),
+g AS (SELECT f.user_id, f.id AS s, f.ts, f.third, min(x.id) AS g FROM fl f JOIN a x ON x.user_id = f.user_id AND x.type = 'signup' AND x.id > f.third GROUP BY ALL),
+d AS (SELECT g.user_id, g.s, g.ts, g.third, g.g, min(x.id) AS e FROM g JOIN a x ON x.user_id = g.user_id AND x.type = 'purchase' AND x.amount >= 1500 AND x.id > g.g GROUP BY ALL),
+cand AS (
+  SELECT d.user_id, d.s, d.e, least(8, (SELECT count(*) FROM fl x WHERE x.user_id = d.user_id AND x.id >= d.s AND x.id < d.g)) AS n
+  FROM d JOIN a z ON z.id = d.e WHERE z.ts - d.ts <= {30 * 60000}
+  AND NOT EXISTS (SELECT 1 FROM a x WHERE x.user_id = d.user_id AND x.type = 'view' AND x.id > d.third AND x.id < d.e)
+),{_CHAIN}"""
+_TRIPPED = f"""
+b AS (SELECT *, CAST(amount AS DECIMAL(18, 2)) AS m, row_number() OVER (PARTITION BY user_id ORDER BY id) AS i FROM a WHERE type = 'purchase' AND amount >= 800 AND amount < 1000),
+walk AS (
+  SELECT user_id, id AS s, ts, i, m AS total, 1 AS parts, CAST(NULL AS BIGINT) AS e FROM b
+  UNION ALL
+  SELECT w.user_id, w.s, w.ts, b.i, CAST(w.total + b.m AS DECIMAL(18, 2)), w.parts + 1, CASE WHEN w.total + b.m >= 3000 THEN b.id END
+  FROM walk w JOIN b ON b.user_id = w.user_id AND b.i = w.i + 1 AND b.ts - w.ts <= {24 * HOUR} WHERE w.e IS NULL AND w.parts < 13
+),
+cand AS (SELECT user_id, s, e, {{'n': parts, 'total': total}} AS n FROM walk WHERE e IS NOT NULL AND parts > 2),{_CHAIN}"""
+_ASKED = f"""WITH {_fraud_sql(QUICK)},
+r AS (SELECT user_id, ts, EXISTS (SELECT 1 FROM a v WHERE v.user_id = a.user_id AND v.type = 'view' AND v.id > a.id AND v.ts - a.ts <= {5 * 60000}) AS ok FROM a WHERE type = 'click')
+SELECT CASE WHEN ok THEN 'otp_verified_ok' ELSE 'otp_never_verified' END AS pattern, 'account' AS entity_kind, user_id AS entity_id, ts,
+  CASE WHEN ok THEN '' ELSE 'otp requested, never verified within 5 min' END AS detail FROM r"""
+
+
 def _found_sql(name: str, body: str) -> str:
     return f"WITH RECURSIVE {_E},{body} SELECT '{name}' AS pattern, user_id AS entity_id, e AS ts, CAST(n AS BIGINT) AS n_events FROM found"
 
@@ -274,7 +374,14 @@ def oracle_sql() -> dict[str, str]:
     found = {n: _found_sql(n, b) for n, b in (("burst_then_strike", _BURST), ("sequence_with_negation", _NEGATION), ("running_total_trip", _RUNNING), ("pairwise_rate", _PAIRWISE))}
     absent = f"WITH {_E} SELECT user_id AS entity_id, ts FROM e s WHERE type = 'signup' AND NOT {_FOLLOWED}"
     columns = "card, auths, declines, total, max_amount, last_ts, last_country"
-    return found | {
+    found_by = {
+        "card_testing": _alert_sql("card_testing", "card", QUICK, _PROBES, "format('{} probes then {:.2f} approved', f.n, q.amount)"),
+        "impossible_travel": _alert_sql("impossible_travel", "card", BRISK, _FAR, ""),
+        "account_takeover": _alert_sql("account_takeover", "account", QUICK, _TAKEN, "format('{} failed logins, password change, then {:.2f} out, no OTP', f.n, q.amount)"),
+        "otp_requests": _ASKED,
+        "structuring": _alert_sql("structuring", "account", SLOW, _TRIPPED, "format('{} sub-threshold transfers totalling {:.2f}', f.n.n, CAST(f.n.total AS DOUBLE))"),
+    }
+    return found | found_by | {
         "absence_timeout": absent,
         "absence_by_matcher": absent,
         "sequence_completed": f"WITH {_E} SELECT user_id AS entity_id, ts FROM e s WHERE type = 'signup' AND {_FOLLOWED}",
