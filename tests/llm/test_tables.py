@@ -6,12 +6,14 @@ import gzip
 import hashlib
 import itertools
 import math
+import os
 import re
 
 import pytest
 
 import corpus_pipeline
-from vigil.llm import arc_convert, mixing, quality, scratch, sharding
+from vigil.llm import arc_convert, mixing, quality, sharding
+from vigil.plans import scratch
 
 
 def brute_targets(sizes, weights):
@@ -121,6 +123,25 @@ def test_archives(spark, least, segment, monkeypatch):
     assert arc_convert.archived(pages.limit(0)).count() == 0
 
 
+def test_archives_of_one_name(spark, tmp_path):
+    """Two files with one inner name, and one file in two places: every payload is read back."""
+    one, two = [(1, "http://a", "A"), (2, "http://a", "A")], [(3, "http://b", "X"), (4, "http://b", "Y")]
+    for i, pages in enumerate((one, two)):
+        for version in (1, 2):
+            os.makedirs(tmp_path / f"arc{version}", exist_ok=True)
+            (tmp_path / f"arc{version}" / f"{i}.arc").write_bytes(b"\n".join(arc_convert._segments(iter(pages), version, "same")) + b"\n")
+    for version in (1, 2):
+        arc_convert.convert(spark, f"{tmp_path}/arc{version}", f"{tmp_path}/warc{version}")
+        got = arc_convert.read_warc(spark, f"{tmp_path}/warc{version}")
+        assert sorted(tuple(r) for r in got.select("page_id", "record_type").collect()) == [(1, "response"), (2, "revisit"), (3, "response"), (4, "response")]
+    (tmp_path / "arc1" / "2.arc").write_bytes((tmp_path / "arc1" / "1.arc").read_bytes())
+    arc_convert.convert(spark, f"{tmp_path}/arc1", f"{tmp_path}/again")
+    got = arc_convert.read_warc(spark, f"{tmp_path}/again")
+    kinds = collections.Counter(tuple(r) for r in got.select("page_id", "record_type", "refers_to").collect())
+    assert kinds == {(1, "response", None): 1, (2, "revisit", 1): 1, (3, "response", None): 1, (3, "revisit", 3): 1, (4, "response", None): 1, (4, "revisit", 4): 1}
+    assert got.select("record_id").distinct().count() == 6
+
+
 def test_arc_versions():
     def arc(version, header):
         own = f"{version} 0 x\n{arc_convert.FIELDS[version]}\n"

@@ -111,14 +111,17 @@ def test_simhash_groups(docs, none, rows, bucket, monkeypatch):
             least[find(i)] = min(d, least.get(find(i), d))
     want = [(d, f"{fps[i]:016x}", least.get(find(i))) for i, (d, *_) in enumerate(rows)]
     assert bag(simhash_dedup.near_duplicates(docs).collect()) == bag(want)
-    kept = simhash_dedup.keep_first(docs)
-    assert kept.columns == docs.columns
-    groups = {find(i) for i in range(len(rows))}
-    # one row for each group; an id that repeats heads the group of its least fingerprint only
-    heads = collections.Counter(least[g] for g in groups if g in least)
-    assert sorted(r["doc_id"] for r in kept.filter("doc_id is not null").collect()) == sorted(heads)
-    assert kept.filter("doc_id is null").count() == len([g for g in groups if g not in least])
-    assert simhash_dedup.near_duplicates(none).count() == simhash_dedup.keep_first(none).count() == 0
+    assert simhash_dedup.near_duplicates(none).count() == 0
+
+
+def test_a_component_of_very_many_members(spark):
+    """A hub with 10^5 neighbours, and a path whose numbers jump."""
+    hub = spark.range(1, 100_001).selectExpr("id + 7 as a", "7L as b")
+    path = spark.range(200).selectExpr("200000 + greatest(id * 7919 % 1000, (id + 1) * 7919 % 1000) as a", "200000 + least(id * 7919 % 1000, (id + 1) * 7919 % 1000) as b")
+    found = simhash_dedup.components(hub.unionByName(path))
+    counts = {r["b"]: r["count"] for r in found.groupBy("b").count().collect()}
+    assert counts == {7: 100_000, 200_000: 200}
+    assert found.count() == found.select("a").distinct().count()
 
 
 def test_covering_masks_meet_every_pair_within_the_radius():

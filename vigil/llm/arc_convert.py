@@ -2,8 +2,8 @@
 
 ``write_arc`` puts pages into ARC files as HTTP responses. ``convert`` reads ARC files: a version block (``filedesc``)
 names the layout of the header lines after it, five fields in version 1 and ten in version 2, and each header declares
-the length of what follows. From these it makes WARC records: an identifier from the archive's name and the record's
-offset, a timestamp, the type, and SHA-1 digests. Of records with equal payloads (by SHA-256 and length) of at least a
+the length of what follows. From these it makes WARC records: an identifier from the archive's path and the record's
+offset (names inside archives may repeat, paths can't), a timestamp, the type, and SHA-1 digests. Of records with equal payloads (by SHA-256 and length) of at least a
 given size, that with the smallest page id is the response; others become revisits that refer to it. ``read_warc``
 reads WARC files back and verifies lengths and digests.
 
@@ -18,7 +18,9 @@ if their measured size allows it, and else shuffles both by id, so a task's shar
 Defined results: a null html is an empty payload; a null url is written as ``about:blank``; white space, control and
 other characters that a header line can't hold are percent-encoded; a null page id comes after all others and is read
 back as null; rows that repeat are records of their own, of which one is the response; extra columns are left out; an
-empty table gives an empty result. An archive that ends within a record or within its compression raises an error.
+empty table gives an empty result. Archives of one inner name and whole archives that repeat are records of their own
+too. An archive that ends within a record or within its compression raises an error, and so does a file of 2 GB or more
+(as stored), which Spark's reader of whole files can't take.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import scratch
+from vigil.plans import scratch
 from vigil.plans.shipping import ship
 
 SEGMENT, PER_FILE = 4 << 20, 4
@@ -168,9 +170,10 @@ class _Source:
         return b"".join(parts)
 
 
-def arc_records(data: bytes) -> Iterator[dict]:
-    """The records of an ARC file, compressed or not, by the declared lengths."""
-    source, version, name, base = _Source(data), 0, "", 0
+def arc_records(data: bytes, path: str = "") -> Iterator[dict]:
+    """The records of an ARC file, compressed or not, by the declared lengths. Their ids follow from ``path`` and their
+    offset in the decompressed file."""
+    source, version, name = _Source(data), 0, ""
     while True:
         at = source.place
         line = source.until(b"\n")
@@ -181,7 +184,7 @@ def arc_records(data: bytes) -> Iterator[dict]:
         line = line.decode()
         if line.startswith("filedesc://"):
             about = source.take(int(line.rsplit(" ", 1)[1]))
-            version, name, base = int(about.split(b" ", 1)[0]), line.split(" ", 1)[0][11:], at
+            version, name = int(about.split(b" ", 1)[0]), line.split(" ", 1)[0][11:]
             if version not in FIELDS:
                 raise ValueError(f"ARC version {version} is not known")
             continue
@@ -197,7 +200,7 @@ def arc_records(data: bytes) -> Iterator[dict]:
             raise ValueError(f"the archive ends within {out['URL']}")
         head, _, payload = body.partition(b"\r\n\r\n")
         found = re.search(rb"(?mi)^X-Page-Id:\s*(-?\d+)\s*$", head)
-        yield out | {"id": f"<urn:uuid:{uuid.uuid5(_SPACE, f'{name}#{at - base}')}>", "archive": name, "head": head, "payload": payload, "page_id": int(found[1]) if found else None}
+        yield out | {"id": f"<urn:uuid:{uuid.uuid5(_SPACE, f'{path}#{at}')}>", "archive": name, "head": head, "payload": payload, "page_id": int(found[1]) if found else None}
 
 
 def _warc_date(date: str) -> str:
@@ -230,9 +233,9 @@ def _parsed(files: DataFrame, names: dict[str, str], schema: str, kinds: tuple)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(map(list, zip(*rows, strict=True)), kinds, strict=True)], list(names))
         for batch in batches:
-            for data in batch.column(0):
+            for path, data in zip(batch.column(0), batch.column(1), strict=True):
                 rows, size = [], 0
-                for r in arc_records(data.as_py()):
+                for r in arc_records(data.as_py(), path.as_py()):
                     if "sha" in names:
                         r |= {"sha": hashlib.sha256(r["payload"]).digest(), "size": len(r["payload"])}
                     rows.append([r[c] for c in names.values()])
@@ -249,7 +252,7 @@ def _parsed(files: DataFrame, names: dict[str, str], schema: str, kinds: tuple)
 def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int = 0) -> None:
     """Convert all ARC files below ``arc_path`` to WARC files below ``warc_path``."""
     ship(spark)
-    files = spark.read.format("binaryFile").load(arc_path).select("content")
+    files = spark.read.format("binaryFile").load(arc_path).select("path", "content")
     found = _parsed(files, {c: c for c in ("id", "page_id", "sha", "size")}, "id string, page_id long, sha binary, size long", (pa.string(), pa.int64(), pa.binary(), pa.int64()))
     found = scratch.table(found)
     order = F.struct(F.col("page_id").isNull().alias("n"), "page_id", "id")
@@ -328,9 +331,13 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archived(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Pages written as ARC, converted to WARC and read back; the archives stay in the shared folder."""
+    """Pages written as ARC, converted to WARC and read back; the WARC files stay in the shared folder while they are
+    read (see ``scratch``)."""
     spark = pages.sparkSession
     arc, warc = scratch.folder(spark), scratch.folder(spark)
+    for path in (arc, warc):
+        scratch.track(spark, path)
     write_arc(pages, arc)
     convert(spark, arc, warc, min_bytes)
+    scratch.delete(arc)
     return read_warc(spark, warc)

@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from vigil.llm import hashing, repeats, scratch
+from vigil.llm import hashing, repeats
+from vigil.plans import scratch
 from vigil.plans.shipping import ship
 
 WINDOW, GRAM, STEP = 400, 32, 16

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.llm import scratch
+from vigil.plans import scratch
 from vigil.plans.shipping import ship
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
@@ -142,28 +142,33 @@ def components(edges: DataFrame) -> DataFrame:
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # written: a join that shares its shuffle with the aggregation below it could not deal a hub to several tasks
+        least = scratch.table(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        made.append(least)
         moved = both.join(least, "a")
         if large:
             return moved.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         rest = moved.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return rest.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
+    made: list[DataFrame] = []
     e, before = scratch.table(edges), None
     while True:
         done = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if done == before:
             return e
         before = done
-        old, e = e, scratch.table(star(star(e, True), False))
-        scratch.drop(old)
+        large = scratch.table(star(e, True))
+        old, e = e, scratch.table(star(large, False))
+        scratch.drop(old, large, *made)
+        made.clear()
 
 
 def grouped(fps: DataFrame) -> DataFrame:
     """For rows (fp, least) with ``least`` the smallest doc_id of a fingerprint: fp and the smallest of its group."""
     own = components(links(fps)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
     whole = fps.join(own, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = whole.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = scratch.table(whole.groupBy("root").agg(F.min("least").alias("component_id")))
     return whole.join(least, "root").select("fp", "component_id")
 
 
@@ -176,18 +181,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def hexed(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
-
-
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document with the smallest id of each group, with all its columns; one row of repeated rows."""
-    rows = scratch.table(with_fingerprints(docs, text_col))
-    fps = scratch.table(rows.groupBy(F.col("__vg_fp").alias("fp")).agg(F.min(id_col).alias("least")))
-    heads = grouped(fps).join(fps, "fp").filter(F.col("least").eqNullSafe(F.col("component_id"))).select(F.col("least").alias("__vg_id"), F.col("fp").alias("__vg_head"))
-    # a group has one head unless an id repeats or is null; the least fingerprint of a repeated id then decides
-    ids = heads.filter("__vg_id is not null").groupBy("__vg_id").agg(F.min("__vg_head").alias("__vg_head"))
-    heads = ids.unionByName(heads.filter("__vg_id is null"))
-    # the join's keys are columns of the rows, so that dropping repeated rows needs no second shuffle of the texts
-    key = {"__vg_null": F.isnull(F.col(f"`{id_col}`")), "__vg_key": F.coalesce(F.col(f"`{id_col}`"), F.lit(0))}
-    heads = heads.select(F.col("__vg_head").alias("__vg_fp"), F.isnull("__vg_id").alias("__vg_null"), F.coalesce("__vg_id", F.lit(0)).alias("__vg_key"))
-    by = ["__vg_fp", *key]
-    return rows.withColumns(key).join(heads, by, "left_semi").dropDuplicates(by).drop(*by)
