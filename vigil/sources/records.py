@@ -2,7 +2,8 @@
 
 A record counts only if all its keys are present and well formed; any other line is dropped. A key's value is what
 follows its first occurrence, up to the closing quote or else to the next comma or brace, so numbers may be quoted and
-of repeated keys the first counts. Lines are flat objects without escapes. ``id`` is assigned in arrival order, so it
+of repeated keys the first counts, even if it is malformed. Floating-point numbers are those of C, hexadecimal ones
+included. Lines are flat objects without escapes; each is searched once for the names of all keys and once for values. ``id`` is assigned in arrival order, so it
 stands for the order of lines, which a distributed scan doesn't keep.
 """
 
@@ -16,22 +17,34 @@ from vigil.schema import ALERT, EVENT, EVENT_TYPES, RULE, RULE_KINDS
 
 _FLAGS = ("approved", "present")
 _WIRE_EVENT = T.StructType([T.StructField(f.name, T.LongType() if f.name in _FLAGS else f.dataType) for f in EVENT])
-_NUMBER = {T.LongType(): r"^-?[0-9]+$", T.DoubleType(): r"(?i)^ *[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$|^ *[+-]?(inf|infinity|nan)$"}
-
-
-def _value(found: Column, key: str, kind: T.DataType) -> Column:
-    """The value in ``"key":value``, as found in a line; null if malformed."""
-    raw = F.substr(found, F.lit(len(key) + 4))
-    raw = F.when(F.startswith(raw, F.lit('"')), F.substr(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
-    out = F.when(raw.rlike(_NUMBER[kind]), F.btrim(raw).try_cast(kind)) if kind in _NUMBER else raw
+_HEX = r"(?i)^\s*[+-]?0x([0-9a-f]+\.?[0-9a-f]*|\.[0-9a-f]+)(p[+-]?[0-9]+)?$"
+_WORDS = r"(?i)^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$|^\s*[+-]?(inf|infinity|nan)$"
+
+
+def _value(found: Column, kind: T.DataType) -> Column:
+    """A value as found in a line, with its quotes or the sign that ends it; null if it has no end or is malformed."""
+    quoted = F.startswith(found, F.lit('"'))
+    raw = F.when(quoted, F.substr(found, F.lit(2), F.length(found) - 2)).otherwise(F.left(found, F.length(found) - 1))
+    out, bare = raw, lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r")).try_cast(kind)
+    if kind == T.LongType():  # of what has these signs only, a cast takes what is a number
+        out = F.when(F.translate(raw, "0123456789-", "") == "", raw.try_cast(kind))
+    if kind == T.DoubleType():  # so here; then other forms, of which Java wants an exponent of hexadecimal ones
+        out = F.when(F.translate(raw, "0123456789.+-eE", "") == "", raw.try_cast(kind)).when(raw.rlike(_WORDS), bare(raw))
+        out = out.when(raw.rlike(_HEX), bare(F.when(F.contains(F.lower(raw), F.lit("p")), raw).otherwise(F.concat(raw, F.lit("p0")))))
     return F.when(found != "", out)
 
 
 def _complete(lines: DataFrame, schema: T.StructType, text: Column) -> DataFrame:
-    found = [F.regexp_extract(text, f'"{f.name}":("[^"]*"|(?!")[^,}}]*(?=[,}}]))', 0).alias(f.name) for f in schema]
-    # generated from an array of one: filters on it stay above, so that a line is searched once
-    row = lines.select(F.inline(F.array(F.struct(*found))))
-    return row.select(*[_value(F.col(f.name), f.name, f.dataType).alias(f.name) for f in schema]).na.drop("any")
+    # values are looked at without being taken: the quote that ends one may begin the next key
+    found = F.struct(
+        F.regexp_extract_all(text, F.lit(r'"(\w+)":'), F.lit(1)).alias("keys"),
+        F.regexp_extract_all(text, F.lit(r'"\w+":(?=("[^"]*"|(?!")[^,}]*[,}])?)'), F.lit(1)).alias("values"),
+    )
+    first = F.struct(*[F.get("values", (F.array_position("keys", c) - 1).cast("int")).alias(c) for c in schema.names])
+    value = F.struct(*[_value(F.col(f.name), f.dataType).alias(f.name) for f in schema])
+    # each step is generated from an array of one: what is asked of it stays above, so that no step is done twice
+    row = lines.select(F.inline(F.array(found))).select(F.inline(F.array(first))).select(F.inline(F.array(value)))
+    return row.na.drop("any")
 
 
 def parse_events(lines: DataFrame, column: str = "value") -> DataFrame:
