@@ -7,6 +7,7 @@ import hashlib
 import itertools
 import math
 import os
+import random
 import re
 
 import pytest
@@ -60,6 +61,60 @@ def test_min_cost_flow_is_cheapest():
     assert sum(cost(n, patterns[p][1]) for p, n in used.items()) == best
 
 
+def brute_flow(patterns, quotas):
+    """(most words, least cost) over all ways to spread the quotas."""
+    arcs, best = [(p, s) for p, (of, _) in enumerate(patterns) for s in of], None
+
+    def go(i, left, used):
+        nonlocal best
+        if i == len(arcs):
+            own = (sum(left), sum(max(0, u - size) for u, (_, size) in zip(used, patterns)))
+            best = own if best is None else min(best, own)
+            return
+        p, s = arcs[i]
+        for n in range(min(left[s], 2 * patterns[p][1] - used[p]) + 1):
+            go(i + 1, [x - n * (k == s) for k, x in enumerate(left)], [x + n * (k == p) for k, x in enumerate(used)])
+
+    go(0, quotas, [0] * len(patterns))
+    return best
+
+
+def test_min_cost_flow_on_random_networks():
+    rng, searched = random.Random(1), 0
+    for _ in range(400):
+        sources, patterns = rng.randint(1, 3), {}
+        for _ in range(rng.randint(1, 4)):
+            if of := frozenset(s for s in range(sources) if rng.random() < 0.6):
+                patterns[of] = rng.randint(0, 2)
+        patterns = list(patterns.items())
+        if sum(len(of) for of, _ in patterns) > 7:
+            continue
+        quotas = [rng.randint(0, 4) for _ in range(sources)]
+        flow = mixing.min_cost_flow(patterns, quotas)
+        used, given = [0] * len(patterns), [0] * sources
+        for (p, s), n in flow.items():
+            assert n > 0 and s in patterns[p][0]
+            used[p] += n
+            given[s] += n
+        assert all(u <= 2 * size for u, (_, size) in zip(used, patterns)) and all(g <= q for g, q in zip(given, quotas))
+        assert (sum(quotas) - sum(used), sum(max(0, u - size) for u, (_, size) in zip(used, patterns))) == brute_flow(patterns, quotas)
+        searched += 1
+    assert searched > 200
+
+
+@pytest.mark.parametrize("size", [1, 20_000])
+def test_mix_in_ranges_of_any_size(docs, rows, size, monkeypatch):
+    """Every source's words meet its target however finely the order is cut; a document is taken by its place in it."""
+    monkeypatch.setattr(mixing, "RANGE", size)
+    taken = collections.Counter()
+    got = mixing.mix(docs).collect()
+    for r in got:
+        taken[r["pattern"][0], r["target"]] += r["taken"]
+    assert all(abs(n - target) <= 1 for (_, target), n in taken.items())
+    monkeypatch.setattr(mixing, "RANGE", 7)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs).collect()))
+
+
 def test_mix(docs, none, rows):
     got = mixing.mix(docs).collect()
     sizes = collections.Counter()
