@@ -3,9 +3,10 @@
 Texts and items are lower-cased and cut into runs of letters and digits, so case and punctuation don't hide a leak; a
 shingle is five words (a shorter item is one shingle). For an item of n words, windows of n words get a 64-bit SimHash
 over their shingles, repeats weighing as often as they occur. Fingerprints are cut into ``BLOCKS`` blocks of 16 bits, and
-a table has each item under all values within ``RADIUS`` // ``BLOCKS`` bits of each of its blocks: of two fingerprints
-within the radius some block differs in no more bits than that, so looking up a window's blocks finds every item within
-it. That is where candidates come from. They are verified by the weighted Jaccard similarity of the shingles (sum of
+a table has the items by the value of each of their blocks: of two fingerprints within the radius some block differs in
+no more than ``RADIUS`` // ``BLOCKS`` bits, so the items under all values that near to a window's blocks hold every item
+within it. (Values near to one are looked up, or, where a table has fewer values than that, picked from them.) That is
+where candidates come from. They are verified by the weighted Jaccard similarity of the shingles (sum of
 lesser over sum of greater counts), which must be ``SIMILARITY`` or more. The radius is three deviations beyond the mean
 distance at that similarity.
 
@@ -18,18 +19,22 @@ is compared as a whole; extra columns don't matter to ``leaks`` and stay in ``wi
 
 Scale: the items are the stated query set. They are sent to all tasks in blocks of at most ``BLOCK_BYTES`` of text and
 ``BLOCK_ITEMS`` items, one after another, each being one narrow pass over the documents whose finds are written before
-the next; documents are never shuffled in ``leaks``.
+the next; documents are never shuffled in ``leaks``. A worker keeps the index of one block, which grows with the items'
+text alone, and uses it for all its tasks.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,7 +46,9 @@ from vigil.plans.shipping import ship
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 19
 BLOCKS = 4
-BLOCK_BYTES, BLOCK_ITEMS = 2_000_000, 2_000
+BLOCK_BYTES, BLOCK_ITEMS = 8_000_000, 20_000
+#: Values of a block compared at a time.
+VALUES = 1024
 #: Shingles whose bits are summed at a time, which bounds memory in long documents.
 CHUNK = 8192
 _NOT_WORD = re.compile(rb"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]")
@@ -99,35 +106,49 @@ class _Item:
         own = _word_hashes(_word_bytes(text))
         self.words, self.unit = len(own), min(SHINGLE, len(own))
         self.hashes = hashing.Stretches(own).every(self.unit) if len(own) else own
-        self.counts = Counter(self.hashes.tolist())
+
+    @cached_property
+    def counts(self) -> Counter:
+        """For items that are candidates only."""
+        return Counter(self.hashes.tolist())
 
 
 class _Table:
-    """Items of one number of shingles under the values near each block of their fingerprints."""
+    """Items of one number of shingles by the values of each block of their fingerprints."""
 
     def __init__(self, items: list[_Item]):
         self.items = items
         self.fps = np.array([_fingerprint(x.hashes) for x in items], np.uint64)
-        self.keys, self.item = [], []
-        for b in range(BLOCKS):
-            near = (_blocks_of(self.fps)[:, b][:, None] ^ _NEAR[None, :]).ravel()
-            order = np.argsort(near, kind="stable")
-            self.keys.append(near[order])
-            self.item.append(np.repeat(np.arange(len(items)), len(_NEAR))[order])
+        self.order = [np.argsort(_blocks_of(self.fps)[:, b], kind="stable").astype(np.int32) for b in range(BLOCKS)]
+        self.values = [np.unique(_blocks_of(self.fps)[:, b], return_index=True, return_counts=True) for b in range(BLOCKS)]
+        # where each value begins in the order
+        self.values = [(v, np.cumsum(n) - n, n) for v, _, n in self.values]
+
+    @staticmethod
+    def _near(own: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the values of ``own`` and ``values`` that differ in few enough bits."""
+        if len(values) <= len(_NEAR):
+            return np.nonzero(np.bitwise_count(own[:, None] ^ values[None, :]) <= RADIUS // BLOCKS)
+        wanted = own[:, None] ^ _NEAR[None, :]
+        at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
+        row, k = np.nonzero(values[at] == wanted)
+        return row, at[row, k]
 
     def within(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of the number of a fingerprint and of an item that are within the radius, each once."""
         found = []
         for b in range(BLOCKS):
-            own = _blocks_of(fps)[:, b]
-            first, last = np.searchsorted(self.keys[b], own), np.searchsorted(self.keys[b], own, "right")
-            n = last - first
-            at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-            found.append(np.repeat(np.arange(len(fps)), n) * len(self.items) + self.item[b][at])
+            values, first, size = self.values[b]
+            blocks = _blocks_of(fps)[:, b]
+            for k in range(0, len(fps), VALUES):
+                window, value = self._near(blocks[k : k + VALUES], values)
+                n = size[value]
+                at = np.repeat(first[value] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                window, item = np.repeat(window + k, n), self.order[b][at]
+                near = np.bitwise_count(fps[window] ^ self.fps[item]) <= RADIUS
+                found.append(window[near] * len(self.items) + item[near])
         found = np.unique(np.concatenate(found))
-        window, item = found // len(self.items), found % len(self.items)
-        near = np.bitwise_count(fps[window] ^ self.fps[item]) <= RADIUS
-        return window[near], item[near]
+        return found // len(self.items), found % len(self.items)
 
 
 class Index:
@@ -193,6 +214,18 @@ class Index:
                 yield table.items[i], best
 
 
+#: The index that a worker has made last.
+_index: dict[str, Index] = {}
+
+
+def _index_of(name: str, sent: Broadcast) -> Index:
+    """The index of a block of items, made once by each worker and not by each task."""
+    if name not in _index:
+        _index.clear()
+        _index[name] = Index(sent.value)
+    return _index[name]
+
+
 def _similarities(item: _Item, hashes: np.ndarray, starts: list[int], width: int) -> Iterator[tuple[float, int]]:
     """The similarity of the windows that begin at ``starts``, in order; counts move along with the window."""
     left, shared, before = Counter(), 0, None
@@ -237,10 +270,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     schema = T.StructType([ids.schema[0], T.StructField(item_col, item_type), T.StructField("similarity", T.DoubleType()), T.StructField("word_start", T.LongType()), T.StructField("n_words", T.LongType())])
     kind, out = to_arrow_type(item_type), spark.createDataFrame([], schema)
     for block in _item_blocks(benchmark, item_col, item_text_col):
-        sent = spark.sparkContext.broadcast(block)
+        sent, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            index = Index(sent.value)
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, name=name) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            index = _index_of(name, sent)
             for batch in batches:
                 rows = []
                 for i, t in enumerate(batch.column(1)):
