@@ -20,7 +20,7 @@ from vigil.schema import ALERT, EVENT, PROFILE_V1, RULE
 from vigil.sources import records
 from vigil.sources.tape import tape
 from vigil.streaming.cep import detect_stream
-from vigil.streaming.rules import latest_profiles, profile_table, rule_hits_by_batch
+from vigil.streaming.rules import compact, latest_profiles, profile_table, rule_hits_stream
 from vigil.streaming.sinks import captured, case_store, emit_bundle, read_cases, replay
 
 T0 = 1_753_920_000_000
@@ -112,44 +112,67 @@ def test_parser_takes_the_first_key_and_numbers_of_c(spark):
     assert [(r["merchant"], r["country"]) for r in rows] == [("", "GB"), ("m", "GB"), ("m", "GB")]
 
 
-def test_rules_on_a_stream(spark, tmp_path):
-    """Auths come before the rules and their seal, and a rule comes after it."""
-    auth = lambda i, ts, merchant, amount: (i, T0 + ts, "auth", 9301, 0, amount, True, False, 0.0, 0.0, merchant, "GB")
-    batches = [[auth(1, 500, "m", 1.005), auth(2, 1000, "m", 0.125)], [auth(3, 2000, "late", 9.0)], [auth(4, 3000, "late", 8.0), auth(5, 3500, "m", 2.675)]]
-    rules = [("merchant_watchlist", "m", T0 + 1000, 0.0)]
-    for i, rows in enumerate(batches):
-        spark.createDataFrame(rows, EVENT).select(records.event_json().alias("value")).coalesce(1).write.text(f"{tmp_path}/in{i}")
-    known = list(rules)
-    store = rule_hits_by_batch(f"{tmp_path}/wait", lambda: spark.createDataFrame(known, RULE), case_store(f"{tmp_path}/s", "hits"))
-    stream = lambda: records.stream_events(spark, f"{tmp_path}/in", maxFilesPerTrigger=1).drop("event_time")
-    os.mkdir(f"{tmp_path}/in")
-    for i in range(3):
-        (part,) = (tmp_path / f"in{i}").glob("part-*")
-        os.rename(part, f"{tmp_path}/in/{i}.json")
-        if i == 1:
-            known.append(("end_of_rules", "", 0, 0.0))
-        if i == 2:
-            known.append(("merchant_watchlist", "late", T0, 0.0))
-        stream().writeStream.foreachBatch(store).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
-        if i == 0:
-            assert not os.path.exists(f"{tmp_path}/s")
-    hits = sorted(tuple(r) for r in read_cases(spark, f"{tmp_path}/s").select("ts", "detail").collect())
-    assert hits == [(T0 + 1000, "auth at watchlisted m for 0.12"), (T0 + 3000, "auth at watchlisted late for 8.00"), (T0 + 3500, "auth at watchlisted m for 2.67")]
-    store(spark.createDataFrame(batches[2], EVENT), 2)  # a batch that runs again
-    assert read_cases(spark, f"{tmp_path}/s").count() == 3
+def arrive(spark, tmp_path, rows, schema, json, folder, number):
+    """A file of JSON lines that a stream finds next."""
+    spark.createDataFrame(rows, schema).select(json.alias("value")).coalesce(1).write.text(f"{tmp_path}/made-{folder}-{number}")
+    (part,) = (tmp_path / f"made-{folder}-{number}").glob("part-*")
+    os.makedirs(tmp_path / folder, exist_ok=True)
+    os.utime(part, (1_700_000_000 + number, 1_700_000_000 + number))
+    os.rename(part, tmp_path / folder / f"{number}.json")
+
+
+@pytest.mark.parametrize("from_start", [False, True])
+def test_rules_on_a_stream(spark, tmp_path, from_start):
+    """Auths come before the rules and their seal, and a rule comes after it. Every step is a restart."""
+    auth = lambda i, ts, merchant, amount, card=9301: (i, T0 + ts, "auth", card, 0, amount, True, False, 0.0, 0.0, merchant, "GB")
+    first = [("merchant_watchlist", "m", T0 + 1000, 0.0), ("merchant_cap", "c", T0, 10.0)]
+    steps = [
+        ([auth(1, 500, "m", 1.005), auth(2, 1000, "m", 0.125), auth(7, 1200, "c", 10.01, 5), auth(8, 1300, "c", 10.0, 6)], [] if from_start else first),
+        ([auth(3, 2000, "late", 9.0)], [("end_of_rules", "", 0, 0.0)]),
+        ([auth(4, 3000, "late", 8.0), auth(5, 3500, "m", 2.675)], [("merchant_watchlist", "late", T0, 0.0)]),
+        ([auth(6, 3600, "late", 7.0)], [("merchant_watchlist", "late", T0, 0.0)]),
+    ]
+    known = spark.createDataFrame(first, RULE) if from_start else None
+    rule_json = F.to_json(F.struct("*"))
+    for folder in ("events", "rules"):
+        os.makedirs(tmp_path / folder)
+    seen = []
+    for i, (events, rules) in enumerate(steps):
+        arrive(spark, tmp_path, events, EVENT, records.event_json(), "events", i)
+        if rules:
+            arrive(spark, tmp_path, rules, RULE, rule_json, "rules", i)
+        hits = rule_hits_stream(records.parse_events(spark.readStream.text(f"{tmp_path}/events")), records.parse_rules(spark.readStream.text(f"{tmp_path}/rules")), known)
+        hits.writeStream.foreachBatch(case_store(f"{tmp_path}/s", "hits")).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+        seen.append(sorted(tuple(r) for r in read_cases(spark, f"{tmp_path}/s").select("ts", "detail").collect()))
+    m, c = (T0 + 1000, "auth at watchlisted m for 0.12"), (T0 + 1200, "auth at c for 10.01 over cap 10.00")
+    third = [(T0 + 3000, "auth at watchlisted late for 8.00"), (T0 + 3500, "auth at watchlisted m for 2.67")]
+    assert seen == [[], [m, c], [m, c, *third], [m, c, *third, *[(T0 + 3600, "auth at watchlisted late for 7.00")] * 2]]
 
 
 def test_profiles_on_a_stream(spark, tmp_path):
     rows = [(i, T0 + (37 * i) % 11 * 1000, "auth", i % 3, 0, i / 4, i % 4 > 0, False, 0.0, 0.0, "m", f"C{i}") for i in range(40)]
-    events = spark.createDataFrame(rows, EVENT)
-    events.select(records.event_json().alias("value")).repartition(3).write.text(f"{tmp_path}/in")
-    folded = profile.profiles(records.stream_events(spark, f"{tmp_path}/in", maxFilesPerTrigger=1))
-    for _ in range(2):
-        folded.writeStream.outputMode("complete").foreachBatch(profile_table(f"{tmp_path}/p")).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
-    now = latest_profiles(spark, f"{tmp_path}/p")
-    want = profile.profiles(events)
-    assert sorted(map(tuple, now.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
-    assert profile.lookup(now, "2")["card"] == 2
+    rows += [(100, T0 + 20_000, "auth", 7, 0, 1.0, True, False, 0.0, 0.0, "m", "NEW"), (101, T0 + 5, "auth", 7, 0, 2.0, True, False, 0.0, 0.0, "m", "LATE")]
+    table, cuts = f"{tmp_path}/p", (0, 20, 40, 41, 42)
+    for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        arrive(spark, tmp_path, rows[lo:hi], EVENT, records.event_json(), "in", i)
+        folded = profile.profiles(records.stream_events(spark, f"{tmp_path}/in"))
+        folded.writeStream.outputMode("update").foreachBatch(profile_table(table)).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+        now, want = latest_profiles(spark, table), profile.profiles(spark.createDataFrame(rows[:hi], EVENT))
+        assert sorted(map(tuple, now.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+        if i == 1:
+            compact(spark, table)
+            compact(spark, table)
+            assert [f for f in os.listdir(table) if f.startswith("batch")] == [] and latest_profiles(spark, table).count() == 3
+        if i == 2:  # only the touched card is written, and what is half written doesn't count
+            deltas = [f"{table}/{f}" for f in os.listdir(table) if f.startswith("batch")]
+            assert [r["card"] for r in spark.read.parquet(*deltas).collect()] == [7]
+            os.makedirs(f"{table}/batch=999")
+    assert profile.lookup(now, "7")["last_country"] == "NEW"
+    states = profile.in_state(spark, f"{tmp_path}/c")
+    assert sorted(map(tuple, states.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    for key, card in (("2", 2), (" +2 cards", 2), ("-2", None), ("x2", None), ("", None), ("9" * 30, None)):
+        assert (profile.lookup(states, key) or {}).get("card") == card
+    assert [r["card"] for r in profile.scan(states, 2)[0]] == [0, 1] and profile.scan(states, 2)[1] and not profile.scan(states, 9)[1]
 
 
 def test_two_decimals_round_as_c_does(spark):

@@ -1,17 +1,19 @@
 """Risk profiles by card: a fold of all purchases, point lookups, bounded scans and their JSON form.
 
 The fold doesn't depend on the order of events: the last country is that of the latest event time, and of equal times
-that of the later arrival (the larger id). The same aggregation runs on a stream.
+that of the later arrival (the larger id). The same aggregation runs on a stream, whose state is read where it is.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from http.server import BaseHTTPRequestHandler, HTTPServer
 from urllib.parse import parse_qs, urlparse
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigil.functions.scalars import risk_score
 
@@ -37,12 +39,24 @@ def profiles(events: DataFrame) -> DataFrame:
     return folded.withColumn("score", risk_score(F.col("declines"), F.col("max_amount")))
 
 
+def in_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The profiles in the state of a streaming query of ``profiles``, as of its last micro-batch, for ``lookup``, ``scan``
+    and ``server``. The query may be running."""
+    state = spark.read.format("statestore").load(checkpoint)
+    # the buffers of the aggregates, in their order; cast whole, as their own names repeat and so can't be read apart
+    buffers = "auths long, declines long, total double, max_amount double, last_ts long, last_country string, order struct<ts: long, id: long>, first_ts long"
+    rows = state.select("key.card", F.col("value").cast(T.StructType.fromDDL(buffers)).alias("v")).select("card", "v.*")
+    rows = rows.withColumns({"max_amount": F.greatest(F.lit(0.0), "max_amount"), "last_ts": F.greatest(F.lit(0).cast("long"), "last_ts")}).drop("order")
+    return rows.withColumn("score", risk_score(F.col("declines"), F.col("max_amount")))
+
+
 def lookup(table: DataFrame, key: str) -> dict | None:
-    """The profile of a card; None for a key that is absent or no number."""
-    try:
-        row = table.filter(F.col("card") == int(key)).first()
-    except ValueError:
+    """The profile of a card; None for a key that is absent or doesn't begin with a number. What follows the number is
+    not looked at."""
+    number = re.match(r"[ \t\n\v\f\r]*([+-]?[0-9]+)", key)
+    if not number or not -(2**63) <= int(number[1]) < 2**63:
         return None
+    row = table.filter(F.col("card") == int(number[1])).first()
     return row and row.asDict()
 
 
