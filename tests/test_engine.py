@@ -19,7 +19,7 @@ from vigil.plans.evolution import Incompatible, Migrations, check_restore, defau
 from vigil.schema import ALERT, EVENT, PROFILE_V1, RULE
 from vigil.sources import records
 from vigil.sources.tape import tape
-from vigil.streaming.cep import detect_stream
+from vigil.streaming.cep import _Detect, detect_stream
 from vigil.streaming.rules import compact, latest_profiles, profile_table, rule_hits_stream
 from vigil.streaming.sinks import captured, case_store, emit_bundle, read_cases, replay
 
@@ -70,6 +70,75 @@ def test_stream_equals_batch(spark, small_tape, tmp_path):
         assert sorted(tuple(r) for r in read_cases(spark, store).select(*ALERT.names).collect()) == want
 
 
+class _Map(dict):
+    """Map state that counts what is written."""
+
+    def __init__(self):
+        super().__init__()
+        self.bytes = 0
+
+    def updateValue(self, k, v):  # noqa: N802
+        self[k] = v
+        self.bytes += len(v[0])
+
+    def getValue(self, k):  # noqa: N802
+        return self[k]
+
+    containsKey = dict.__contains__  # noqa: N815
+    removeKey = dict.__delitem__  # noqa: N815
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+
+class _Value:
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, v):
+        self.value = v
+
+    def clear(self):
+        self.value = None
+
+
+class _Handle:
+    def getValueState(self, *_):  # noqa: N802
+        return _Value()
+
+    def getMapState(self, *_):  # noqa: N802
+        return _Map()
+
+    def registerTimer(self, _):  # noqa: N802
+        pass
+
+
+def test_what_a_micro_batch_writes_does_not_grow_with_what_waits():
+    """A thousand rows wait and as many matches are open; each further row writes about as much as the first."""
+    import pandas as pd
+
+    p = _Detect([detectors.otp_never_verified()])
+    p.init(_Handle())
+    now = type("Now", (), {"getCurrentWatermarkInMs": lambda self: self.at})()
+    written = []
+    for i in range(1000):
+        now.at = T0 + i * 10 - 5000  # the last 500 rows wait, the others are open requests
+        p.open.bytes = p.rows.bytes = 0
+        list(p.handleInputRows(("account", 1), iter([pd.DataFrame({"vg_bits": [[1]], "ts": [T0 + i * 10], "id": [i]})]), now))
+        written.append(p.open.bytes + p.rows.bytes)
+    assert len(p.rows) == 500 and len(p.open) == 500
+    assert max(written[600:]) <= 2 * max(written[:10]) + 200
+    now.at = T0 + 10_000_000
+    assert len(pd.concat(p.handleExpiredTimer(("account", 1), now, None))) == 1000
+    assert not p.rows and not p.open and not p.done.exists()
+
+
 def test_rules_are_dated_and_need_a_seal(spark):
     def auth(card, merchant, amount, ts):
         return (ts, T0 + ts, "auth", card, 0, amount, True, False, 0.0, 0.0, merchant, "GB")
