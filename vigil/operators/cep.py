@@ -73,27 +73,36 @@ def detect(events: DataFrame, detectors: list[Detector], order: str = "event_tim
     rows = masked(events, detectors)
     by = ["id"] if order == "arrival" else ["ts", "id"]
     rows = rows.repartition("vg_kind", "vg_entity").sortWithinPartitions("vg_kind", "vg_entity", *by)
-    names = rows.columns
+    names = [c for c in rows.columns if not c.startswith("vg_")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entity, matchers, last = None, [], 0
+        # matchers are made once for each kind of entity and begin anew with each entity
+        of_kind = {k: [(i, d, Matcher(d.pattern)) for i, d in enumerate(detectors) if d.entity_kind == k] for k in {d.entity_kind for d in detectors}}
+        entity, matchers = None, []
 
         def finish() -> list[tuple]:
             if entity is None or complete_to is None:
                 return []
-            return [a for d, m in matchers if d.entity_kind == entity[0] for a in alerts_of(d, *entity, m.advance(complete_to))]
+            return [a for _, d, m in matchers for a in alerts_of(d, *entity, m.advance(complete_to))]
 
         for batch in batches:
-            out = []
-            for values in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                row = dict(zip(names, values, strict=True))
-                if (own := (row.pop("vg_kind"), row.pop("vg_entity"))) != entity:
+            out, columns = [], [batch.column(c).to_pylist() for c in names]
+            times = columns[names.index("ts")]
+            for k, own in enumerate(zip(*(batch.column(c).to_pylist() for c in ("vg_kind", "vg_entity", "vg_bits")), strict=True)):
+                if own[:2] != entity:
                     out += finish()
-                    entity, matchers = own, [(d, Matcher(d.pattern)) for d in detectors]
-                bits = row.pop("vg_bits")
-                for (d, m), b in zip(matchers, bits, strict=True):
-                    if d.entity_kind == own[0]:
-                        out += alerts_of(d, *own, m.on_event(row, row["ts"], b) if b else m.pass_time(row["ts"]))
+                    entity, matchers = own[:2], of_kind[own[0]]
+                    for _, _, m in matchers:
+                        m.reset()
+                bits, ts, event = own[2], times[k], None
+                for i, d, m in matchers:
+                    if bits[i] & m.mask:
+                        if event is None:  # only of events that some match may want
+                            event = {c: v[k] for c, v in zip(names, columns, strict=True)}
+                        if found := m.on_event(event, ts, bits[i]):
+                            out += alerts_of(d, *entity, found)
+                    elif m.partials and d.on_timeout and (found := m.pass_time(ts)):
+                        out += alerts_of(d, *entity, found)
             yield _batch(out)
         yield _batch(finish())
 

@@ -31,6 +31,19 @@ class Matcher:
         for k, i in enumerate(self.positive[:-1]):
             self.gap[i] = list(range(i + 1, self.positive[k + 1]))
         self.after = dict(zip(self.positive, self.positive[1:]))
+        # what a partial at a step may take or die of, as a mask
+        self.wanted = {i: sum(1 << k for k in (i, *self.gap[i], *([self.after[i]] if i in self.after else []))) for i in self.positive}
+        self._look()
+
+    def _look(self) -> None:
+        """``mask``: an event none of whose bits is in it neither changes a partial nor opens one."""
+        self.mask = 1
+        for p in self.partials:
+            self.mask |= self.wanted[p.step]
+
+    def reset(self) -> None:
+        """Begin with another key."""
+        self.partials, self.mask = [], 1
 
     def _holds(self, i: int, event: Event, bits: int, captures: Captures) -> bool:
         step: Step = self.pattern.steps[i]
@@ -92,6 +105,7 @@ class Matcher:
                 out.append(("match", own.captures))
             else:
                 self.partials.append(own)
+        self._look()
         return out
 
     def pass_time(self, ts: int) -> list[tuple[str, Captures]]:
@@ -100,7 +114,9 @@ class Matcher:
 
     def advance(self, watermark: int) -> list[tuple[str, Captures]]:
         """All events up to the watermark have come: what can no longer be completed expires."""
-        return self._expired(watermark, inclusive=True)
+        out = self._expired(watermark, inclusive=True)
+        self._look()
+        return out
 
     def next_expiry(self) -> int | None:
         """When the oldest partial expires."""
