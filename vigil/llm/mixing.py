@@ -29,6 +29,8 @@ MAX_PATTERNS = 100_000
 PASSES = 2
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
+#: Bytes of a plan that is broadcast.
+BROADCAST = 8 << 20
 #: Rows of a range of the seeded order, about.
 RANGE = 20_000
 SEED = 7
@@ -235,7 +237,10 @@ def _plan(own: DataFrame, weights: Sequence[float], share: float) -> DataFrame:
         first = number[r["pattern"][0]]
         quotas = [max(0, min(has, words - k * has)) for k in range(PASSES)]
         out.append((r["pattern"], quotas, size[first], float(target[first]), (r["n"] // RANGE).bit_length()))
-    return spark.createDataFrame(out, "pattern array<string>, quotas array<long>, source_size long, target double, bits int")
+    plan = spark.createDataFrame(out, "pattern array<string>, quotas array<long>, source_size long, target double, bits int")
+    # one row a pattern, whose size is known here; beyond the bound rows meet it by a join that is split where it is skewed
+    size = sum(64 + sum(len((s or "").encode()) + 8 for s in r["pattern"]) for r in found)
+    return F.broadcast(plan) if size <= BROADCAST else scratch.table(plan)
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources_col: str = "source") -> DataFrame:
