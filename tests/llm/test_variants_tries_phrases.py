@@ -5,11 +5,13 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vigil.llm import conversation_trie, phrase_fingerprint, spelling
+from vigil.llm import conversation_trie, decontaminate, phrase_fingerprint, spelling
 
 
 def talks():
@@ -225,3 +227,17 @@ def test_fingerprints_of_small_tables(docs, none):
     assert sorted(map(repr, own.collect())) == sorted(map(repr, wide.select("doc_id", "n_chars", "fingerprint").collect()))
     for r in wide.select("near_edited", phrase_fingerprint.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("l")).collect():
         assert abs(r["near_edited"] - r["l"]) < 1e-12
+
+
+@pytest.mark.parametrize("n", [1, 50, 3000])
+def test_blocks_give_every_item_within_the_radius(n):
+    """Few items are compared by blocks, many looked up under near values; both find what comparing all fingerprints finds."""
+    rng = np.random.default_rng(n)
+    base = rng.integers(2**64, size=n, dtype=np.uint64)
+    table = decontaminate._Table([SimpleNamespace(hashes=np.array([x], np.uint64)) for x in base])
+    assert (table.fps == base).all()  # the fingerprint of one hash is itself
+    flips = [sum(1 << int(b) for b in rng.choice(64, k, replace=False)) for k in rng.integers(0, 26, size=400)]
+    fps = np.concatenate([base[rng.integers(n, size=400)] ^ np.array(flips, np.uint64), rng.integers(2**64, size=200, dtype=np.uint64)])
+    window, item = table.within(fps)
+    want = np.nonzero(np.bitwise_count(fps[:, None] ^ base[None]) <= decontaminate.RADIUS)
+    assert sorted(zip(window.tolist(), item.tolist())) == sorted(zip(*(x.tolist() for x in want)))

@@ -119,34 +119,37 @@ class _Table:
     def __init__(self, items: list[_Item]):
         self.items = items
         self.fps = np.array([_fingerprint(x.hashes) for x in items], np.uint64)
-        self.order = [np.argsort(_blocks_of(self.fps)[:, b], kind="stable").astype(np.int32) for b in range(BLOCKS)]
-        self.values = [np.unique(_blocks_of(self.fps)[:, b], return_index=True, return_counts=True) for b in range(BLOCKS)]
-        # where each value begins in the order
-        self.values = [(v, np.cumsum(n) - n, n) for v, _, n in self.values]
-
-    @staticmethod
-    def _near(own: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the values of ``own`` and ``values`` that differ in few enough bits."""
-        if len(values) <= len(_NEAR):
-            return np.nonzero(np.bitwise_count(own[:, None] ^ values[None, :]) <= RADIUS // BLOCKS)
-        wanted = own[:, None] ^ _NEAR[None, :]
-        at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
-        row, k = np.nonzero(values[at] == wanted)
-        return row, at[row, k]
+        self.order, self.values = [], []
+        for own in _blocks_of(self.fps).T:
+            order = np.argsort(own, kind="stable").astype(np.int32)
+            value, first, size = np.unique(own[order], return_index=True, return_counts=True)
+            self.order.append(order)
+            self.values.append((value, first, size))
+
+    def _near(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of which some block differs in few enough bits. Of many items those under the near values are looked up,
+        and a pair may come more than once; of fewer items than there are such values the blocks are compared."""
+        blocks = _blocks_of(fps)
+        if len(self.items) <= len(_NEAR):
+            return np.nonzero((np.bitwise_count(blocks[:, None] ^ _blocks_of(self.fps)[None]) <= RADIUS // BLOCKS).any(axis=2))
+        windows, items = [], []
+        for own, order, (value, first, size) in zip(blocks.T, self.order, self.values, strict=True):
+            wanted = own[:, None] ^ _NEAR[None, :]
+            at = np.minimum(np.searchsorted(value, wanted), len(value) - 1)
+            window, k = np.nonzero(value[at] == wanted)
+            at = at[window, k]
+            n = size[at]
+            items.append(order[np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())])
+            windows.append(np.repeat(window, n))
+        return np.concatenate(windows), np.concatenate(items)
 
     def within(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of the number of a fingerprint and of an item that are within the radius, each once."""
         found = []
-        for b in range(BLOCKS):
-            values, first, size = self.values[b]
-            blocks = _blocks_of(fps)[:, b]
-            for k in range(0, len(fps), VALUES):
-                window, value = self._near(blocks[k : k + VALUES], values)
-                n = size[value]
-                at = np.repeat(first[value] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                window, item = np.repeat(window + k, n), self.order[b][at]
-                near = np.bitwise_count(fps[window] ^ self.fps[item]) <= RADIUS
-                found.append(window[near] * len(self.items) + item[near])
+        for k in range(0, len(fps), VALUES):
+            window, item = self._near(fps[k : k + VALUES])
+            near = np.bitwise_count(fps[window + k] ^ self.fps[item]) <= RADIUS
+            found.append((window[near] + k) * len(self.items) + item[near])
         found = np.unique(np.concatenate(found))
         return found // len(self.items), found % len(self.items)
 
