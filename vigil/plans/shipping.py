@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -18,6 +19,7 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _sent:
         return
     root, out = Path(__file__).resolve().parents[1], tempfile.mkdtemp(prefix="vigil-zip-")
+    atexit.register(shutil.rmtree, out, ignore_errors=True)
     tree = Path(out, "tree", root.name)
     shutil.copytree(root, tree, ignore=shutil.ignore_patterns("__pycache__"))
     sc.addPyFile(shutil.make_archive(os.path.join(out, root.name), "zip", tree.parent))
