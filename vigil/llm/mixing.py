@@ -32,7 +32,7 @@ SHARE = 1.5
 #: Bytes of a plan that is broadcast.
 BROADCAST = 8 << 20
 #: Rows of a range of the seeded order, about.
-RANGE = 20_000
+RANGE = 1000
 SEED = 7
 
 
