@@ -7,7 +7,7 @@ from vigil.operators.cep import Detector
 from vigil.plans.pattern import Captures, Event, Pattern
 from vigil.schema import HOUR, MINUTE
 
-#: The thresholds.
+#: The thresholds. The words of the details below are fixed too.
 PROBE_MAX, STRIKE_MIN, STRIKE_VS_PROBE = 2.00, 250.00, 20.0
 TRAVEL_KMH, TRAVEL_MIN_KM = 900.0, 200.0
 DRAIN_MIN = 1500.00
