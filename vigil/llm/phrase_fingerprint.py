@@ -172,7 +172,7 @@ def beside_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.xxhash64(text).alias("th"), text.cast("binary").alias("text"))
     splitters = _splitters(rows.select("doc", "th"))
-    known = spark.sparkContext.broadcast(splitters)  # at most RANGES rows, whatever the input
+    known = spark.sparkContext.broadcast(splitters)  # at most twice RANGES rows, whatever the input
     names = ["range", "kind", "doc", "th", "text"]
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
