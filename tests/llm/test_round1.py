@@ -81,3 +81,32 @@ def test_mix_meets_targets_whatever_the_ids(spark):
     taken = collections.Counter(r["source"] for r in mixing.mixed(docs).collect())
     target = {r["pattern"][0]: r["target"] for r in mixing.mix(docs).collect()}
     assert all(abs(10 * taken[s] - target[s]) <= 10 for s in target)
+
+
+def test_masks_meet_every_pair_within_the_radius():
+    rng = random.Random(4)
+    masks = [m for p in range(near_copies.PARTS) for m in near_copies.covering_masks(p)]
+    assert len(masks) == 126 and min(m.bit_count() for m in masks) == 16
+    for _ in range(3000):
+        flips = sum(1 << i for i in rng.sample(range(64), near_copies.RADIUS))
+        assert any(flips & m == 0 for m in masks)
+
+
+def test_near_copies_are_found_by_simhash_and_covering_masks(spark, monkeypatch):
+    """Without prefixes, the pairs within the radius and no others are left."""
+    monkeypatch.setattr(near_copies, "_prefixes", lambda text, heavy: spark.createDataFrame([], "key long, sig long, at int"))
+    rng = random.Random(8)
+    rows, want = [], set()
+    for g in range(60):
+        base = [f"w{rng.randint(0, 5000)}" for _ in range(100)]
+        own = list(base)
+        for _ in range(g % 4):
+            own[rng.randrange(len(own))] = f"n{rng.randint(0, 9999)}"
+        sets = [near_copies._shingle_set(" ".join(x).encode()) for x in (base, own)]
+        shared = len(set(sets[0].tolist()) & set(sets[1].tolist()))
+        apart = int(decontaminate._fingerprint(sets[0]) ^ decontaminate._fingerprint(sets[1])).bit_count()
+        rows += [(2 * g, " ".join(base), "en", "a"), (2 * g + 1, " ".join(own), "en", "a")]
+        linked = 9 * shared >= 4 * (len(sets[0]) + len(sets[1])) and apart <= near_copies.RADIUS
+        want |= {2 * g} if linked else {2 * g, 2 * g + 1}
+    assert 60 <= len(want) < 120
+    assert {r["doc_id"] for r in near_copies.keep_first(spark.createDataFrame(rows, SCHEMA)).collect()} == want

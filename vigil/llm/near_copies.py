@@ -1,31 +1,40 @@
-"""Near copies by the Jaccard similarity of five-word shingles, found without loss.
-
-Two texts link where the sets of their shingles have a similarity of 0.8 or more, and a group is what links connect. A
-SimHash radius for that similarity is 19 bits (see ``decontaminate``), which would take 2^20 covering tables, so
-candidates come from prefixes instead: with the shingles of all texts in one order, a set of n can only reach 0.8 with
-another if the first n - ceil(0.8 n) + 1 of both share one. Each set also has a sketch of 512 bits, the parity of its
-shingles by nine bits of their hash: two sketches differ in at most as many bits as the sets in shingles, so candidates
-whose sketches or sizes rule 0.8 out go; the others are decided on the whole sets. The order is that of the hashes,
-shingles held by more than ``HEAVY`` texts last; any order finds every pair, this one makes few others.
-
-A large group of different near copies is not compared pair by pair: ``STARS`` rounds compare the sets that share a
-shingle of their prefixes to one of them only, another one for each shingle and round, and what links so is one
-component: each set goes on with the likest one by sketch. The last round, which makes the result exact, only joins sets of different components.
+"""Near copies: SimHash and covering masks, an exact check by Jaccard similarity, and prefixes for what is farther apart.
+
+Two texts link where the sets of their five-word shingles have a similarity of 0.8 or more, and a group is what links
+connect. Sets get 64-bit SimHash fingerprints. One mask family for all that a similarity of 0.8 allows (19 bits, see
+``decontaminate``) would take 2^20 tables, so a fingerprint is cut into ``PARTS`` halves: of two within ``RADIUS`` = 11
+bits some half differs in five or fewer, and for these each half has 63 covering masks. A bit has a vector of six bits
+(32 and its place), a mask keeps the bits whose vectors have an odd product with its number; five vectors leave a number
+that is orthogonal to all, so every pair within the radius meets in a table. Sets that meet there within the radius are
+decided on the whole sets.
+
+Links beyond the radius (the mean distance at 0.8 is 10 bits) are found exactly in what is then still apart: with the
+shingles of all texts in one order, a set of n can only reach 0.8 with another if the first n - ceil(0.8 n) + 1 of both
+share one. Each set also has a sketch of 512 bits, the parity of its shingles by nine bits of their hash: two sketches
+differ in at most as many bits as the sets in shingles, so candidates whose sketches or sizes rule 0.8 out go; the others
+are decided on the whole sets. The order is that of the hashes, shingles held by more than ``HEAVY`` texts last; any order
+finds every pair, this one makes few others.
+
+A large group of different near copies is not compared pair by pair: by ``FEW`` of the masks, and then by prefixes, the
+sets of a bucket are first compared to one of them only, another one for each bucket, and what links so is one component:
+each set goes on with the likest one. The passes over all buckets after that, which make masks and prefixes complete, only
+join sets of different components, and never compare the members of a bucket's largest component with each other.
 
 Defined results: words are as in ``simhash_dedup``; a text of fewer than five words is one shingle; null and empty texts
 are copies of each other; of a group the row with the smallest (id, hash of the text) stays, null ids last; rows that
 repeat both are one; ids that repeat or are null do no harm; an empty table gives an empty table. Texts with equal sets
 are one node from the start.
 
-Scale: about a fifth of the shingles is shuffled as numbers, sets only for candidates, the texts once at the end. No step
-gathers what shares a shingle: it is aggregated before the shuffle or joined on the shingle, which adaptive execution
-splits where it is skewed. Sets that nearly link but are of different components all meet in the last round: its tests
-(not its rows) grow with the square of a group of those.
+Scale: 126 keys of a set are shuffled, half of them at a time, about a fifth of the shingles as numbers, sets only for
+candidates, the texts once at the end. No step gathers what shares a key: it is aggregated before the shuffle or joined on
+the key, which adaptive execution splits where it is skewed. A key holds 16 bits of a fingerprint, so beside the near
+copies a bucket has a set in 65,536, and fingerprints compared grow with the square of that. Sets that nearly link but
+are of different components all meet in the last round: its tests (not its rows) grow with the square of a group of those.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +48,12 @@ from vigil.plans.shipping import ship
 
 #: A shingle in more prefixes than this goes to the end of the order, the ``MOST`` commonest of them.
 HEAVY, MOST, ROUNDS = 32, 100_000, 2
-STARS = 2
+#: A fingerprint's parts, the differences that masks cover in one, and so those within which all pairs meet.
+PARTS, COVERED = 2, 5
+RADIUS = PARTS * (COVERED + 1) - 1
+PRINT = ["fp"]
+#: Tables in which a bucket's sets are compared to one of them, before all tables.
+FEW = 8
 #: The sketch of a set, as columns of 64 bits.
 SKETCH = [f"s{i}" for i in range(8)]
 #: The filter of texts whose sets are needed has 2^FILTER bits (8 MB).
@@ -70,41 +84,56 @@ def _sketch(own: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, th, sig, sketch) of every row: its id, the hash of its text, the number of its set and its sketch."""
+    """(doc, th, sig, n, fp, sketch) of every row: its id, the hash of its text, the number of its set, its size, its
+    fingerprint and its sketch."""
     ship(docs.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     df = docs.select(F.col(f"`{id_col}`").alias("doc"), F.xxhash64(text).alias("th"), text.cast("binary").alias("text"))
-    names = ["doc", "th", "sig", *SKETCH]
+    names = ["doc", "th", "sig", "n", *PRINT, *SKETCH]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sigs, sketch = [], np.zeros((b.num_rows, len(SKETCH)), np.int64)
-            for i, x in enumerate(b.column(2)):
-                own = _shingle_set(x.as_py())
-                sigs.append(_sign(own))
-                sketch[i] = _sketch(own)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sigs, pa.int64()), *(pa.array(c) for c in sketch.T)], names)
+            own = np.zeros((b.num_rows, len(names) - 2), np.int64)
+            for row, x in zip(own, b.column(2), strict=True):
+                found = _shingle_set(x.as_py())
+                row[:3] = _sign(found), len(found), decontaminate._fingerprint(found).view(np.int64)
+                row[3:] = _sketch(found)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c) for c in own.T)], names)
 
     return df.mapInArrow(run, df.select("doc", "th", *[F.lit(0).cast("long").alias(c) for c in names[2:]]).schema)
 
 
+def covering_masks(part: int) -> list[int]:
+    """The bits that each table of a part keeps: 16, or all 32 in one."""
+    bits = 64 // PARTS
+    return [sum(1 << bits * part + i for i in range(bits) if ((bits + i) & v).bit_count() & 1) for v in range(1, 2 ** (COVERED + 1))]
+
+
+def _masked(nodes: DataFrame, masks: list[int]) -> DataFrame:
+    """(key, at, ...): the nodes under the bits that each mask keeps of their fingerprints."""
+    known = F.array(*[F.lit(simhash_dedup._signed(m)) for m in masks])
+    own = ["sig", "n", "comp", "weight", *PRINT]
+    rows = nodes.select(*own, F.explode(known).alias("mask"))
+    return rows.select(F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), F.lit(0).alias("at"), *own)
+
+
 def _prefixes(texts: DataFrame, heavy: np.ndarray) -> DataFrame:
-    """(key, sig, n, at): the shingles of each set's prefix, its size and their places in the order."""
+    """(key, sig, at): the shingles of each set's prefix and their places in the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "sig", "n", "at"]
+        names = ["key", "sig", "at"]
         for b in batches:
-            cols = [[np.zeros(0, t)] for t in (np.int64, np.int64, np.int32, np.int32)]
+            cols = [[np.zeros(0, t)] for t in (np.int64, np.int64, np.int32)]
             for x in b.column(0):
                 own = _shingle_set(x.as_py())
                 n = len(own)
                 late = _among(own, heavy)
                 first = np.concatenate((own[~late], own[late]))[: n - -(-4 * n // 5) + 1] if n else own
-                for c, v in zip(cols, (first.view(np.int64), np.full(len(first), _sign(own)), np.full(len(first), n), np.arange(len(first)))):
+                for c, v in zip(cols, (first.view(np.int64), np.full(len(first), _sign(own)), np.arange(len(first)))):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(c[0].dtype)) for c in cols], names)
 
-    return texts.mapInArrow(run, "key long, sig long, n int, at int")
+    return texts.mapInArrow(run, "key long, sig long, at int")
 
 
 def _sets(docs: DataFrame, text_col: str, ends: DataFrame) -> DataFrame:
@@ -131,15 +160,17 @@ def _sets(docs: DataFrame, text_col: str, ends: DataFrame) -> DataFrame:
     return found.join(ends.select("sig"), "sig", "left_semi").dropDuplicates(["sig"])
 
 
-def _differ() -> Column:
-    """In how many bits the sketches of ``x`` and ``y`` differ."""
-    return sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in SKETCH), F.lit(0))
+def _differ(marks: list[str]) -> Column:
+    """In how many bits the fingerprints or sketches of ``x`` and ``y`` differ."""
+    return sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in marks), F.lit(0))
 
 
-def _may_link() -> Column:
-    """Whether sizes and sketches of ``x`` and ``y`` allow 0.8: at most a ninth of their shingles differ."""
+def _may_link(marks: list[str]) -> Column:
+    """Whether sizes and sketches of ``x`` and ``y`` allow 0.8 (at most a ninth of their shingles differ); for
+    fingerprints, whether they are within the radius."""
     both = F.col("x.n") + F.col("y.n")
-    return (9 * F.least("x.n", "y.n") >= 4 * both) & (9 * _differ() <= both)
+    near = _differ(marks) <= RADIUS if marks == PRINT else 9 * _differ(marks) <= both
+    return (9 * F.least("x.n", "y.n") >= 4 * both) & near
 
 
 def _decided(pairs: DataFrame, docs: DataFrame, text_col: str, nodes: DataFrame) -> DataFrame:
@@ -151,24 +182,26 @@ def _decided(pairs: DataFrame, docs: DataFrame, text_col: str, nodes: DataFrame)
     return both.filter(9 * shared >= 4 * (F.size("own_a") + F.size("own_b"))).select("a", "b")
 
 
-def _star(rows: DataFrame, seed: int) -> DataFrame:
-    """(a, b), a > b: each set with the likest of another component, of those chosen one for each shared shingle."""
-    one = F.min(F.struct(F.xxhash64("key", "sig", F.lit(seed)).alias("order"), "sig", "n", "comp", *SKETCH)).alias("one")
+def _star(rows: DataFrame, marks: list[str]) -> DataFrame:
+    """(a, b), a > b: each set with the likest of another component, of those chosen one for each shared key."""
+    one = F.min(F.struct(F.xxhash64("key", "sig").alias("order"), "sig", "n", "comp", *marks)).alias("one")
     y = rows.groupBy("key").agg(one).select("key", "one.*").alias("y")
-    pairs = rows.alias("x").join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & _may_link())
-    best = pairs.groupBy(F.col("x.sig").alias("x")).agg(F.min(F.struct(_differ().alias("differ"), F.col("y.sig").alias("y"))).alias("best"))
+    pairs = rows.alias("x").join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & _may_link(marks))
+    best = pairs.groupBy(F.col("x.sig").alias("x")).agg(F.min(F.struct(_differ(marks).alias("differ"), F.col("y.sig").alias("y"))).alias("best"))
     return best.select(F.greatest("x", "best.y").alias("a"), F.least("x", "best.y").alias("b")).distinct()
 
 
-def _rest(rows: DataFrame) -> DataFrame:
-    """(a, b), a > b: all pairs of different components that share a shingle and may link."""
-    open_ = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    rows = rows.join(open_, "key", "left_semi")
+def _rest(rows: DataFrame, marks: list[str]) -> DataFrame:
+    """(a, b), a > b: all pairs of different components that share a key and may link. One of the two is not of the
+    bucket's largest component, so that one's members are not compared with each other."""
+    open_ = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("weight").alias("main")).filter("lo < hi").select("key", "main")
+    rows = rows.join(open_, "key")
     # the first shared shingle leaves enough after it; later ones needn't be tested
     left = 9 * F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= 4 * (F.col("x.n") + F.col("y.n"))
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.sig") > F.col("y.sig")) & (F.col("x.comp") != F.col("y.comp"))
-    pairs = rows.alias("x").join(rows.alias("y"), on & left & _may_link())
-    return pairs.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct()
+    once = (F.col("x.weight") == F.col("x.main")) | (F.col("x.sig") > F.col("y.sig"))
+    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & once
+    pairs = rows.alias("x").join(rows.filter("weight <> main").alias("y"), on & left & _may_link(marks))
+    return pairs.select(F.greatest("x.sig", "y.sig").alias("a"), F.least("x.sig", "y.sig").alias("b")).distinct()
 
 
 def _heavy(text: DataFrame) -> np.ndarray:
@@ -185,32 +218,55 @@ def _heavy(text: DataFrame) -> np.ndarray:
     return heavy
 
 
+def _placed(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """The nodes with their component and its weight: its number of sets above 40 bits of its number, which tell
+    components of one size apart."""
+    sizes = scratch.table(found.groupBy(F.col("b").alias("comp")).agg((F.count("*") + 1).alias("size")))
+    own = nodes.drop("head", "th").join(found.toDF("sig", "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    size = F.least(F.coalesce("size", F.lit(1)), F.lit(2**22)).cast("long")
+    weight = F.shiftleft(size, 40).bitwiseOR(F.col("comp").bitwiseAND(2**40 - 1))
+    out = scratch.table(own.join(sizes, "comp", "left").withColumn("weight", weight).drop("size"))
+    scratch.drop(sizes)
+    return out
+
+
 def grouped(docs: DataFrame, nodes: DataFrame, text_col: str = "text") -> DataFrame:
     """(a, b) for every set a that is not the least of its group, b being the least (by number). ``nodes`` has each set's
-    number, sketch and the hash of a text with it."""
+    number, size, fingerprint, sketch and the hash of a text with it."""
+    found = scratch.table(docs.sparkSession.createDataFrame([], "a long, b long"))
+
+    def go_on(candidates: list[Callable[[DataFrame], DataFrame]]) -> None:
+        """A round: the candidates, of which those are links that the whole sets bear out, join components."""
+        nonlocal found
+        now = _placed(nodes, found)
+        parts = [scratch.table(c(now)) for c in candidates]
+        pairs = parts[0]
+        for p in parts[1:]:
+            pairs = pairs.unionByName(p)
+        if not pairs.isEmpty():
+            new = scratch.table(_decided(pairs.distinct(), docs, text_col, nodes))
+            old, found = found, simhash_dedup.components(found.unionByName(new))
+            scratch.drop(new, old)
+        scratch.drop(now, *parts)
+
+    go_on([lambda now: _star(_masked(now, covering_masks(0)[:FEW]), PRINT)])
     text = docs.select(F.col(f"`{text_col}`").cast("binary").alias("text"))
     every = scratch.table(_prefixes(text, _heavy(text)))
     shared = every.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).filter("lo < hi").select("key")
     rows = scratch.table(every.join(shared, "key", "left_semi").distinct())  # exact copies are one
     scratch.drop(every)
-    shared_rows, rows = rows, rows.join(nodes.select("sig", *SKETCH), "sig")
-    found = docs.sparkSession.createDataFrame([], "a long, b long")
-    for k in range(STARS + 1):
-        comp = found.toDF("sig", "comp")
-        now = rows.join(comp, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-        pairs = scratch.table(_star(now, k) if k < STARS else _rest(now))
-        new = scratch.table(_decided(pairs, docs, text_col, nodes))
-        old, found = found, simhash_dedup.components(found.unionByName(new))
-        scratch.drop(pairs, new, *([old] if k else []))
-    scratch.drop(shared_rows)
+    masked = [lambda now, p=p: _rest(_masked(now, covering_masks(p)), PRINT) for p in range(PARTS)]
+    go_on([*masked, lambda now: _star(rows.join(now, "sig"), SKETCH)])
+    go_on([lambda now: _rest(rows.join(now, "sig"), SKETCH)])
+    scratch.drop(rows)
     return found
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The first row of each group, with all its columns; one row of repeated rows."""
     order = F.struct(F.isnull("doc").alias("none"), "doc", "th")
-    sketch = [F.min(c).alias(c) for c in SKETCH]  # the same for all of a set
-    nodes = scratch.table(signed(docs, id_col, text_col).groupBy("sig").agg(F.min(order).alias("head"), F.min("th").alias("th"), *sketch))
+    same = [F.min(c).alias(c) for c in ("n", *PRINT, *SKETCH)]  # the same for all of a set
+    nodes = scratch.table(signed(docs, id_col, text_col).groupBy("sig").agg(F.min(order).alias("head"), F.min("th").alias("th"), *same))
     found = grouped(docs, nodes, text_col)
     own = found.select(F.col("a").alias("sig"), F.col("b").alias("root"))
     heads = nodes.join(own, "sig", "left").groupBy(F.coalesce("root", "sig").alias("root")).agg(F.min("head").alias("head"))
