@@ -110,3 +110,61 @@ def test_near_copies_are_found_by_simhash_and_covering_masks(spark, monkeypatch)
         want |= {2 * g} if linked else {2 * g, 2 * g + 1}
     assert 60 <= len(want) < 120
     assert {r["doc_id"] for r in near_copies.keep_first(spark.createDataFrame(rows, SCHEMA)).collect()} == want
+
+
+def _nearly_linked(n):
+    """Texts that share most of one base; each links with few others, though fingerprints are near."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(n):
+        own = list(base)
+        for k in rng.sample(range(len(own)), 1 + (i % 8 > 0)):
+            own[k] = f"n{i}x{k}"
+        rows.append((i, " ".join(own), "en", "a"))
+    return rows
+
+
+@pytest.mark.parametrize("bucket", [512, 2])
+def test_pairs_of_a_group_of_near_copies_do_not_grow_with_its_square(spark, bucket, monkeypatch):
+    monkeypatch.setattr(near_copies, "BUCKET", bucket, raising=False)
+    decided, pairs = near_copies._decided, []
+
+    def counted(found, *args):
+        pairs.append(found.count())
+        return decided(found, *args)
+
+    monkeypatch.setattr(near_copies, "_decided", counted)
+    rows = _nearly_linked(400)
+    sets = [set(near_copies._shingle_set(r[1].encode()).tolist()) for r in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 9 * len(a & sets[j]) >= 4 * (len(a) + len(sets[j])):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    want = {find(i) for i in range(len(rows))}
+    assert {r["doc_id"] for r in near_copies.keep_first(spark.createDataFrame(rows, SCHEMA)).collect()} == want
+    assert sum(pairs) <= 10 * len(rows), pairs
+
+
+def test_buckets_give_all_pairs_within_the_radius(spark):
+    """Buckets of many sets that share a mask's bits by chance, too: the pairs leave the task, the sets do not."""
+    rng = random.Random(5)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    fps = [b ^ sum(1 << i for i in rng.sample(range(64), rng.randint(0, 14))) for b in base for _ in range(5)]
+    signed = [x - 2**64 if x >= 2**63 else x for x in fps]
+    row = lambda i, fp: (i, 100, i // 2, fp, *[0] * len(near_copies.SKETCH))
+    names = ["sig long", "n long", "comp long", "fp long", *[f"{c} long" for c in near_copies.SKETCH]]
+    nodes = spark.createDataFrame([row(i, fp) for i, fp in enumerate(signed)], ", ".join(names))
+    got = set()
+    for p in range(near_copies.PARTS):
+        got |= {(r["a"], r["b"]) for r in near_copies._met(nodes, near_copies.covering_masks(p)).collect()}
+    near = {(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= near_copies.RADIUS}
+    assert got == {(i, j) for i, j in near if i // 2 != j // 2}

@@ -15,10 +15,12 @@ differ in at most as many bits as the sets in shingles, so candidates whose sket
 are decided on the whole sets. The order is that of the hashes, shingles held by more than ``HEAVY`` texts last; any order
 finds every pair, this one makes few others.
 
-A large group of different near copies is not compared pair by pair: by ``FEW`` of the masks, and then by prefixes, the
-sets of a bucket are first compared to one of them only, another one for each bucket, and what links so is one component:
-each set goes on with the likest one. The passes over all buckets after that, which make masks and prefixes complete, only
-join sets of different components, and never compare the members of a bucket's largest component with each other.
+A large group of different near copies is not compared pair by pair: by ``FEW`` of the masks of each half, and then by
+prefixes, the sets of a bucket are first compared to one of them only, another one for each bucket and each turn, and each
+set goes on with the likest one. What links so is one component; turns go on while they join much. The passes over all
+masks and prefixes after that only join sets of different components. A mask's buckets are lists of at most ``BUCKET``
+sets, compared within a task, which only pairs leave that fingerprints, sizes and half a sketch allow; links of fuller
+buckets are found by prefixes, which are complete by themselves.
 
 Defined results: words are as in ``simhash_dedup``; a text of fewer than five words is one shingle; null and empty texts
 are copies of each other; of a group the row with the smallest (id, hash of the text) stays, null ids last; rows that
@@ -26,10 +28,12 @@ repeat both are one; ids that repeat or are null do no harm; an empty table give
 are one node from the start.
 
 Scale: 126 keys of a set are shuffled, half of them at a time, about a fifth of the shingles as numbers, sets only for
-candidates, the texts once at the end. No step gathers what shares a key: it is aggregated before the shuffle or joined on
-the key, which adaptive execution splits where it is skewed. A key holds 16 bits of a fingerprint, so beside the near
-copies a bucket has a set in 65,536, and fingerprints compared grow with the square of that. Sets that nearly link but
-are of different components all meet in the last round: its tests (not its rows) grow with the square of a group of those.
+candidates, the texts once at the end. Keys of more than ``BUCKET`` sets are not gathered, prefixes are joined on the key,
+which adaptive execution splits where it is skewed. A key holds 16 bits of a fingerprint, so beside the near copies a
+bucket has a set in 65,536: fingerprints compared in tasks (a few ns each) grow with the square of the sets, rows do not.
+Beyond some 33 million different sets most buckets are too full, and prefixes find what the first comparisons have not.
+Sets that nearly link but are of different components all meet in the last round: its tests (not its rows) grow with the
+square of a group of those.
 """
 
 from __future__ import annotations
@@ -54,6 +58,10 @@ RADIUS = PARTS * (COVERED + 1) - 1
 PRINT = ["fp"]
 #: Tables in which a bucket's sets are compared to one of them, before all tables.
 FEW = 8
+#: Comparing each set to a few goes on while a round adds more than one in STARS to what is joined.
+STARS = 20
+#: Sets of a bucket whose pairs are all compared, and pairs compared at a time.
+BUCKET, COMPARED = 512, 1_000_000
 #: The sketch of a set, as columns of 64 bits.
 SKETCH = [f"s{i}" for i in range(8)]
 #: The filter of texts whose sets are needed has 2^FILTER bits (8 MB).
@@ -109,12 +117,11 @@ def covering_masks(part: int) -> list[int]:
     return [sum(1 << bits * part + i for i in range(bits) if ((bits + i) & v).bit_count() & 1) for v in range(1, 2 ** (COVERED + 1))]
 
 
-def _masked(nodes: DataFrame, masks: list[int]) -> DataFrame:
-    """(key, at, ...): the nodes under the bits that each mask keeps of their fingerprints."""
+def _masked(nodes: DataFrame, masks: list[int], *more: Column) -> DataFrame:
+    """(key, ...): the nodes under the bits that each mask keeps of their fingerprints."""
     known = F.array(*[F.lit(simhash_dedup._signed(m)) for m in masks])
-    own = ["sig", "n", "comp", "weight", *PRINT]
-    rows = nodes.select(*own, F.explode(known).alias("mask"))
-    return rows.select(F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), F.lit(0).alias("at"), *own)
+    rows = nodes.select("sig", "n", "comp", *PRINT, *more, F.explode(known).alias("mask"))
+    return rows.select(F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), *[c for c in rows.columns if c != "mask"])
 
 
 def _prefixes(texts: DataFrame, heavy: np.ndarray) -> DataFrame:
@@ -182,16 +189,59 @@ def _decided(pairs: DataFrame, docs: DataFrame, text_col: str, nodes: DataFrame)
     return both.filter(9 * shared >= 4 * (F.size("own_a") + F.size("own_b"))).select("a", "b")
 
 
-def _star(rows: DataFrame, marks: list[str]) -> DataFrame:
-    """(a, b), a > b: each set with the likest of another component, of those chosen one for each shared key."""
-    one = F.min(F.struct(F.xxhash64("key", "sig").alias("order"), "sig", "n", "comp", *marks)).alias("one")
+def _star(rows: DataFrame, marks: list[str], turn: int = 0) -> DataFrame:
+    """(a, b), a > b: each set with the likest of another component, of those chosen one for each shared key, another
+    one in each turn."""
+    one = F.min(F.struct(F.xxhash64("key", "sig", F.lit(turn)).alias("order"), "sig", "n", "comp", *marks)).alias("one")
     y = rows.groupBy("key").agg(one).select("key", "one.*").alias("y")
     pairs = rows.alias("x").join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & _may_link(marks))
     best = pairs.groupBy(F.col("x.sig").alias("x")).agg(F.min(F.struct(_differ(marks).alias("differ"), F.col("y.sig").alias("y"))).alias("best"))
     return best.select(F.greatest("x", "best.y").alias("a"), F.least("x", "best.y").alias("b")).distinct()
 
 
-def _rest(rows: DataFrame, marks: list[str]) -> DataFrame:
+def _close(sizes: np.ndarray, sig: np.ndarray, n: np.ndarray, comp: np.ndarray, *marks: np.ndarray) -> Iterator[list[np.ndarray]]:
+    """(a, b), a > b, for the pairs of each bucket that may link, of different components; ``sizes`` tells how many of the
+    sets in a row each bucket has."""
+    at, (fp, *sketch) = np.arange(len(sig)), [c.view(np.uint64) for c in marks]  # of signed numbers numpy counts other bits
+    after = np.repeat(np.cumsum(sizes), sizes) - at - 1  # of the same bucket
+    upto = np.cumsum(after)
+    first = 0
+    while first < len(sig):
+        last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + COMPARED, "right")))
+        k = after[first:last]
+        x = np.repeat(at[first:last], k)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(k) - k, k)
+        near = (np.bitwise_count(fp[x] ^ fp[y]) <= RADIUS) & (comp[x] != comp[y])
+        x, y = x[near], y[near]
+        both = n[x] + n[y]
+        apart = sum((np.bitwise_count(c[x] ^ c[y]) for c in sketch), np.zeros(len(x), np.int64))
+        near = (9 * np.minimum(n[x], n[y]) >= 4 * both) & (9 * apart <= both)
+        x, y = sig[x[near]], sig[y[near]]
+        yield [np.maximum(x, y), np.minimum(x, y)]
+        first = last
+
+
+def _met(nodes: DataFrame, masks: list[int]) -> DataFrame:
+    """(a, b), a > b, as a table: all pairs of different components that meet under a mask, in buckets of up to
+    ``BUCKET`` sets, and may link. Half as many bits of a sketch, pairs of them added, are a sketch as well."""
+    half = len(SKETCH) // 2
+    short = [F.col(c).bitwiseXOR(F.col(d)).alias(c) for c, d in zip(SKETCH[:half], SKETCH[half:], strict=True)]
+    rows = _masked(nodes, masks, *short)
+    crowded = scratch.table(_masked(nodes, masks).groupBy("key").count().filter(F.col("count") > BUCKET).select("key"))
+    of = [F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.collect_list(F.struct("sig", "n", "comp", *PRINT, *SKETCH[:half])).alias("sets")]
+    buckets = rows.join(crowded, "key", "left_anti").groupBy("key").agg(*of).filter("lo < hi").select("sets")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for found in _close(b.column(0).value_lengths().to_numpy(), *(c.to_numpy() for c in b.column(0).flatten().flatten())):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["a", "b"])
+
+    out = scratch.table(buckets.mapInArrow(run, "a long, b long"))
+    scratch.drop(crowded)
+    return out
+
+
+def _rest(rows: DataFrame) -> DataFrame:
     """(a, b), a > b: all pairs of different components that share a key and may link. One of the two is not of the
     bucket's largest component, so that one's members are not compared with each other."""
     open_ = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("weight").alias("main")).filter("lo < hi").select("key", "main")
@@ -200,7 +250,7 @@ def _rest(rows: DataFrame, marks: list[str]) -> DataFrame:
     left = 9 * F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= 4 * (F.col("x.n") + F.col("y.n"))
     once = (F.col("x.weight") == F.col("x.main")) | (F.col("x.sig") > F.col("y.sig"))
     on = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & once
-    pairs = rows.alias("x").join(rows.filter("weight <> main").alias("y"), on & left & _may_link(marks))
+    pairs = rows.alias("x").join(rows.filter("weight <> main").alias("y"), on & left & _may_link(SKETCH))
     return pairs.select(F.greatest("x.sig", "y.sig").alias("a"), F.least("x.sig", "y.sig").alias("b")).distinct()
 
 
@@ -233,31 +283,41 @@ def _placed(nodes: DataFrame, found: DataFrame) -> DataFrame:
 def grouped(docs: DataFrame, nodes: DataFrame, text_col: str = "text") -> DataFrame:
     """(a, b) for every set a that is not the least of its group, b being the least (by number). ``nodes`` has each set's
     number, size, fingerprint, sketch and the hash of a text with it."""
-    found = scratch.table(docs.sparkSession.createDataFrame([], "a long, b long"))
+    found, joined = scratch.table(docs.sparkSession.createDataFrame([], "a long, b long")), 0
 
-    def go_on(candidates: list[Callable[[DataFrame], DataFrame]]) -> None:
-        """A round: the candidates, of which those are links that the whole sets bear out, join components."""
-        nonlocal found
+    def go_on(*candidates: Callable[[DataFrame], DataFrame]) -> bool:
+        """A round: the candidates, of which those are links that the whole sets bear out, join components. Whether
+        that was worth while."""
+        nonlocal found, joined
         now = _placed(nodes, found)
-        parts = [scratch.table(c(now)) for c in candidates]
+        parts = [c(now) for c in candidates]
         pairs = parts[0]
         for p in parts[1:]:
             pairs = pairs.unionByName(p)
+        before = joined
         if not pairs.isEmpty():
             new = scratch.table(_decided(pairs.distinct(), docs, text_col, nodes))
-            old, found = found, simhash_dedup.components(found.unionByName(new))
-            scratch.drop(new, old)
+            comps = now.select("sig", "comp")
+            ends = new.join(comps.toDF("a", "x"), "a").join(comps.toDF("b", "y"), "b")
+            merged = simhash_dedup.components(ends.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+            roots = comps.join(merged.toDF("comp", "root"), "comp", "left").select(F.col("sig").alias("a"), F.coalesce("root", "comp").alias("b"))
+            old, found = found, scratch.table(roots.filter("a <> b"))
+            joined = found.count()
+            scratch.drop(new, old, merged)
         scratch.drop(now, *parts)
+        return STARS * (joined - before) > joined
 
-    go_on([lambda now: _star(_masked(now, covering_masks(0)[:FEW]), PRINT)])
+    go_on(*[lambda now, p=p: scratch.table(_star(_masked(now, covering_masks(p)[:FEW]), PRINT)) for p in range(PARTS)])
     text = docs.select(F.col(f"`{text_col}`").cast("binary").alias("text"))
     every = scratch.table(_prefixes(text, _heavy(text)))
     shared = every.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).filter("lo < hi").select("key")
     rows = scratch.table(every.join(shared, "key", "left_semi").distinct())  # exact copies are one
     scratch.drop(every)
-    masked = [lambda now, p=p: _rest(_masked(now, covering_masks(p)), PRINT) for p in range(PARTS)]
-    go_on([*masked, lambda now: _star(rows.join(now, "sig"), SKETCH)])
-    go_on([lambda now: _rest(rows.join(now, "sig"), SKETCH)])
+    turn = 0
+    while go_on(*[lambda now, t=t: scratch.table(_star(rows.join(now, "sig"), SKETCH, t)) for t in (turn, turn + 1)]):
+        turn += 2
+    go_on(*[lambda now, p=p: _met(now, covering_masks(p)) for p in range(PARTS)])
+    go_on(lambda now: scratch.table(_rest(rows.join(now, "sig"))))
     scratch.drop(rows)
     return found
 
