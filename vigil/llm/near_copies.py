@@ -61,7 +61,9 @@ FEW = 8
 #: Comparing each set to a few goes on while a round adds more than one in STARS to what is joined.
 STARS = 20
 #: Sets of a bucket whose pairs are all compared, and pairs compared at a time.
-BUCKET, COMPARED = 512, 1_000_000
+BUCKET, COMPARED = 512, 100_000
+#: Texts of which a task holds the sets at a time.
+PIECE = 1000
 #: The sketch of a set, as columns of 64 bits.
 SKETCH = [f"s{i}" for i in range(8)]
 #: The filter of texts whose sets are needed has 2^FILTER bits (8 MB).
@@ -91,6 +93,12 @@ def _sketch(own: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool)).view(np.int64)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for k in range(0, b.num_rows, PIECE):
+            yield b.slice(k, PIECE)
+
+
 def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, th, sig, n, fp, sketch) of every row: its id, the hash of its text, the number of its set, its size, its
     fingerprint and its sketch."""
@@ -100,7 +108,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     names = ["doc", "th", "sig", "n", *PRINT, *SKETCH]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _pieces(batches):
             own = np.zeros((b.num_rows, len(names) - 2), np.int64)
             for row, x in zip(own, b.column(2), strict=True):
                 found = _shingle_set(x.as_py())
@@ -129,7 +137,7 @@ def _prefixes(texts: DataFrame, heavy: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "sig", "at"]
-        for b in batches:
+        for b in _pieces(batches):
             cols = [[np.zeros(0, t)] for t in (np.int64, np.int64, np.int32)]
             for x in b.column(0):
                 own = _shingle_set(x.as_py())
@@ -155,7 +163,7 @@ def _sets(docs: DataFrame, text_col: str, ends: DataFrame) -> DataFrame:
     known = docs.sparkSession.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _pieces(batches):
             at = b.column(0).to_numpy() & (2**FILTER - 1)
             take = np.flatnonzero(known.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1))
             own = [_shingle_set(b.column(1)[int(i)].as_py()) for i in take]
